@@ -25,6 +25,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskwright.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskwright.llm.licenses import license_scan
 
@@ -51,6 +57,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", n_items.alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), (n_items >= 2).alias("contaminated"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_fingerprints, op2_line_dedup, op7_license_scan, op8_decontamination)}
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskwright.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_fingerprints, op2_line_dedup, op5_packing, op7_license_scan, op8_decontamination, op10_html_extraction)}
 
 ORACLE_SQL: dict[str, str] = {}
