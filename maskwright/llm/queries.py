@@ -57,12 +57,18 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", n_items.alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), (n_items >= 2).alias("contaminated"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskwright.llm.class_lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskwright.llm.html_extract import extract
 
     return extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_fingerprints, op2_line_dedup, op5_packing, op7_license_scan, op8_decontamination, op10_html_extraction)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_fingerprints, op2_line_dedup, op5_packing, op7_license_scan, op8_decontamination, op9_lm_scoring, op10_html_extraction)}
 
 ORACLE_SQL: dict[str, str] = {}
