@@ -25,6 +25,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskwright.llm.language_id import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskwright.llm.packing import pack
 
@@ -69,6 +75,6 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_fingerprints, op2_line_dedup, op5_packing, op7_license_scan, op8_decontamination, op9_lm_scoring, op10_html_extraction)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_fingerprints, op2_line_dedup, op3_language_id, op5_packing, op7_license_scan, op8_decontamination, op9_lm_scoring, op10_html_extraction)}
 
 ORACLE_SQL: dict[str, str] = {}
