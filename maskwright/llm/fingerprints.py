@@ -8,52 +8,60 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from maskwright.llm.common import even_parts, id_and_text, public_id, words_of, written
+from maskwright.llm.common import even_parts, id_and_text, public_id, written
 
 #: A term is in the lexicon if its share of the documents lies in this band. The lower end bounds the lexicon:
-#: documents hold MEAN_TERMS distinct terms on average, so at most MEAN_TERMS / LOW terms reach it at any size.
+#: documents that hold m distinct terms on average have at most m / LOW terms that reach it, at any size.
 LOW, HIGH = 0.01, 0.2
-#: The lexicon is broadcast up to this many terms and joined by shuffle above it.
-BROADCAST_TERMS = 500_000
-#: Each random lexicon keeps every n-th term by hash: long documents need sparse lexicons, short ones dense.
-SPARSITY = (4, 16, 64, 128) * 8
-#: Stands in every term list, so that a document without any term of the lexicon keeps its row.
-MARK = "\x01"
+#: Up to this many terms the lexicon is a set in the plan; above, it is joined by shuffle.
+SET_TERMS = 50_000
+#: Each random lexicon keeps one in so many terms, by bits of their hashes: long documents need sparse lexicons.
+SPARSITY = (4, 16, 64, 128)
+#: First bit of each sparsity's window in the 16 bits that a round of lexicons takes of a term's 128 hash bits.
+WINDOW_AT = (0, 2, 6, 9)
+ROUNDS = 8
 
 
-def _drawn(term: Column, k: int) -> Column:
-    """Whether lexicon k holds the term."""
-    part = F.conv(F.substring(F.md5(F.concat(F.lit(f"{k}:"), term)), 1, 8), 16, 10).cast("long")
-    return part % SPARSITY[k] == 0
+def terms_of(text: Column) -> Column:
+    """Distinct terms: lower-cased runs between blanks, tabs and line ends."""
+    blank = F.lower(text)
+    for sign in ("\n", "\t", "\r"):
+        blank = F.replace(blank, F.lit(sign), F.lit(" "))
+    return F.array_remove(F.array_distinct(F.split(blank, " ", -1)), "")
 
 
 def lexicon(texts: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """(term, drawn) for the terms in the band; drawn: bit k is set if lexicon k holds the term."""
+    """(term) for the terms whose share of documents is in the band, by counts over all documents."""
     n = texts.count()
     least, most = max(1, math.ceil(low * n)), max(3, math.ceil(high * n))
-    counts = (
-        texts.select(F.explode(F.array_distinct(words_of(F.col("text")))).alias("term"))
-        .groupBy("term")
-        .count()
-        .filter(F.col("count").between(least, most))
-    )
-    bits = sum((F.when(_drawn(F.col("term"), k), F.lit(1 << k)).otherwise(F.lit(0)) for k in range(len(SPARSITY))), F.lit(0).cast("long"))
-    return counts.select("term", bits.alias("drawn"))
+    counts = texts.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").count()
+    return counts.filter(F.col("count").between(least, most)).select("term")
 
 
 def hashed(terms: Column, text_hash: Column) -> Column:
     """The fingerprint: for each lexicon the hash of the document's terms in it, or nothing.
 
-    terms: sorted array of (term, drawn), a column that is already computed. A document without any term in the band
+    terms: sorted array of (term, h1, h2), a column that is already computed. A document without any term in the band
     is known by its text alone.
     """
-    masks = F.array(*[F.lit(1 << k).cast("long") for k in range(len(SPARSITY))])
-    own = lambda m: F.transform(F.filter(terms, lambda x: x["drawn"].bitwiseAND(m) != 0), lambda x: x["term"])
-    joined = F.transform(masks, lambda m: F.concat_ws(" ", own(m)))
-    short = F.transform(joined, lambda s: F.when(s == "", s).otherwise(F.substring(F.md5(s), 1, 12)))
+    parts = []
+    for k in range(ROUNDS):
+        word, base = ("h1", "h2")[k // 4], 16 * (k % 4)
+        for size, at in zip(SPARSITY, WINDOW_AT):
+            parts.append(_joined(terms, word, base + at, size - 1))
+    short = F.transform(F.array(*parts), lambda s: F.when(s == "", s).otherwise(F.substring(F.md5(s), 1, 12)))
     return F.when(F.size(terms) > 0, F.array_join(short, ",")).otherwise(F.concat(F.lit("t:"), text_hash))
 
 
+def _joined(terms: Column, word: str, shift: int, mask: int) -> Column:
+    drawn = F.filter(terms, lambda x: F.shiftrightunsigned(x[word], shift).bitwiseAND(F.lit(mask).cast("long")) == 0)
+    return F.concat_ws(" ", F.transform(drawn, lambda x: x["term"]))
+
+
+def with_hashes(terms: Column) -> Column:
+    return F.transform(F.sort_array(terms), lambda t: F.struct(t.alias("term"), F.xxhash64(t).alias("h1"), F.xxhash64(F.lit(7), t).alias("h2")))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Share of lexicons under which both fingerprints have the same hash, of those under which either has one."""
     pairs = F.arrays_zip(F.split(a, ",").alias("a"), F.split(b, ",").alias("b"))
@@ -87,26 +95,20 @@ def successors(df: DataFrame, heads: DataFrame, cols: list[str]) -> DataFrame:
     return led.select(*df.columns, *[got[c].alias(f"next_{c}") for c in cols])
 
 
-def fingerprints(texts: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n_chars, text_sha256, fingerprint) of rows (keys, text) with unique keys; terms: the lexicon.
+def fingerprints(texts: DataFrame, band: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n_chars, text_sha256, fingerprint) of rows (keys, text) with unique keys; band: the lexicon's terms.
 
-    Terms are looked up in the broadcast lexicon, whose size is counted first, and gathered again by document; where
-    the rows are already placed by one of the keys, that needs no shuffle.
+    Within SET_TERMS, counted first, each document's terms are filtered in place, without join or shuffle.
     """
-    small = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    marks = terms.sparkSession.range(1).select(F.lit(MARK).alias("term"), F.lit(0).cast("long").alias("drawn"))
-    marked = terms.unionByName(marks)
-    listed = F.array_append(F.array_distinct(words_of(F.col("text"))), F.lit(MARK)).alias("__words")
-    words = texts.select(*keys, F.length("text").cast("long").alias("__n"), F.sha2("text", 256).alias("__sha"), listed)
-    words = words.select(*keys, "__n", "__sha", F.explode("__words").alias("term"))
-    found = words.join(F.broadcast(marked) if small else marked, "term")
-    is_mark = F.col("term") == MARK
-    got = found.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.when(~is_mark, F.struct("term", "drawn")))).alias("__terms"),
-        F.max(F.when(is_mark, F.col("__sha"))).alias("text_sha256"),
-        F.max(F.when(is_mark, F.col("__n"))).alias("n_chars"),
-    )
-    return got.select(*keys, "n_chars", "text_sha256", hashed(F.col("__terms"), F.col("text_sha256")).alias("fingerprint"))
+    base = texts.select(*keys, F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), terms_of(F.col("text")).alias("__all"))
+    known = [r["term"] for r in band.limit(SET_TERMS + 1).collect()]
+    if len(known) <= SET_TERMS:
+        own = base.select(*keys, "n_chars", "text_sha256", F.filter("__all", lambda t: t.isin(known or [""])).alias("__own"))
+    else:
+        each = base.select(*keys, F.explode("__all").alias("term")).join(band, "term").groupBy(*keys).agg(F.collect_list("term").alias("__own"))
+        own = base.drop("__all").join(each, keys, "left").withColumn("__own", F.coalesce("__own", F.array().cast("array<string>")))
+    ready = own.select(*keys, "n_chars", "text_sha256", with_hashes(F.col("__own")).alias("__terms"))
+    return ready.select(*keys, "n_chars", "text_sha256", hashed(F.col("__terms"), F.col("text_sha256")).alias("fingerprint"))
 
 
 def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
@@ -117,7 +119,7 @@ def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
     doc_id count as one document, the one of least text. Extra columns are not read. An empty table gives no rows.
 
     Document frequencies come from all documents. Texts are shuffled once, by quantile of doc_id, a key without hot
-    values; their terms are gathered in the same tasks.
+    values; both fingerprints are made in the same tasks.
     """
     base = id_and_text(docs)
     terms = written(lexicon(base), "lexicon")
@@ -125,11 +127,10 @@ def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
     both = successors(placed, placed, ["text"])
     cut = F.floor(F.length("text") / 4).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), F.length("text") - cut), F.substr("next_text", F.lit(1), cut))
-    versions = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("text")), F.struct(F.lit(1).alias("kind"), edited.alias("text")))
-    texts = both.select("part", "id", F.explode(versions).alias("x")).select("part", "id", "x.kind", "x.text")
-    each = fingerprints(texts, terms, ["part", "id", "kind"])
-    of = lambda c, k: F.max(F.when(F.col("kind") == k, F.col(c)))
-    wide = each.groupBy("part", "id").agg(of("n_chars", 0).alias("n_chars"), of("text_sha256", 1).alias("edited_sha256"), of("fingerprint", 0).alias("fingerprint"), of("fingerprint", 1).alias("edited_fingerprint"))
+    sides = both.select("part", "id", "text", edited.alias("edited"))
+    own = fingerprints(sides, terms, ["part", "id", "edited"]).drop("text_sha256")
+    wide = fingerprints(own.withColumnRenamed("edited", "text").withColumnsRenamed({"n_chars": "n", "fingerprint": "print"}), terms, ["part", "id", "n", "print"])
+    wide = wide.select("part", "id", F.col("n").alias("n_chars"), F.col("text_sha256").alias("edited_sha256"), F.col("print").alias("fingerprint"), F.col("fingerprint").alias("edited_fingerprint"))
     prints = written(wide, "fingerprints")
     return successors(prints, prints, ["fingerprint"]).select(
         public_id().alias("doc_id"),
