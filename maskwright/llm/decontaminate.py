@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.llm.common import Block, blocks_of, bytes_of, id_and_text, mixed, public_id
@@ -149,15 +147,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     return out.select(public_id().alias("doc_id"), "text", "n_words", n_hit.alias("n_hit"), "items", "spans")
 
 
-def items_digest(items: list | None) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items or []))).encode()).hexdigest()
+def without_spans(text: Column, spans: Column) -> Column:
+    """The text without the sorted spans; what stands before and after a span is joined by one space."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+
+    def cut(state, span):
+        part = F.btrim(F.substr(text, state["at"] + 1, span["start"] - state["at"]), F.lit(" "))
+        return F.struct(span["end"].alias("at"), F.array_append(state["parts"], part).alias("parts"))
 
+    def rest(state):
+        parts = F.array_append(state["parts"], F.btrim(F.substr(text, state["at"] + 1), F.lit(" ")))
+        return F.array_join(F.filter(parts, lambda p: p != ""), " ")
 
-def without_spans(text: str, spans: list) -> str:
-    """The text without the spans; what stood around a span is joined by one space."""
-    parts, at = [], 0
-    for s in spans:
-        parts.append(text[at : s["start"]].rstrip(" "))
-        at = s["end"]
-    parts.append(text[at:].lstrip(" ") if at else text)
-    return " ".join(p for p in parts if p) if spans else text
+    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, cut, rest))

@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from maskwright.llm.common import NULL_ID, bytes_of, id_and_text, public_id, unique_rows
+from maskwright.llm.common import NULL_ID, blocks_of, bytes_of, id_and_text, public_id, unique_rows
 
 #: Units a direction, bytes of a window, windows that run side by side.
 UNITS, WINDOW, LANES = 12, 128, 1024
@@ -193,33 +194,42 @@ def held_out(share: int):
     return F.crc32(F.when(F.col("id") == NULL_ID, F.lit("")).otherwise(F.col("id").cast("string"))) % share == 1
 
 
+def predicted(net: Network, texts: list[bytes]) -> tuple[list[str], list[float]]:
+    """Language and pooled probability of each text; bounded memory however long the texts are together."""
+    languages, scores = [], []
+    for a, b in blocks_of(texts, 4 * LANES * WINDOW):
+        pooled = net.pooled(texts[a:b]) if net.languages else np.zeros((b - a, 0))
+        for t, p in zip(texts[a:b], pooled):
+            if len(p) and _LETTER.search(t.decode("utf-8", "replace")):
+                k = int(np.argmax(p))
+                languages.append(net.languages[k])
+                scores.append(min(1.0, float(p[k])))
+            else:
+                languages.append(UNKNOWN)
+                scores.append(0.0)
+    return languages, scores
+
+
 def _predict(model):
     def predict(batches):
-        net = model.value
         for batch in batches:
-            texts = bytes_of(batch.column("text"))
-            a = 0
-            languages, scores = [], []
-            while a < len(texts):
-                b, size = a, 0
-                while b < len(texts) and (b == a or size + len(texts[b]) <= 4 * LANES * WINDOW):
-                    size += len(texts[b])
-                    b += 1
-                pooled = net.pooled(texts[a:b]) if net.languages else np.zeros((b - a, 0))
-                for t, p in zip(texts[a:b], pooled):
-                    if len(p) and _LETTER.search(t.decode("utf-8", "replace")):
-                        k = int(np.argmax(p))
-                        languages.append(net.languages[k])
-                        scores.append(min(1.0, float(p[k])))
-                    else:
-                        languages.append(UNKNOWN)
-                        scores.append(0.0)
-                a = b
+            languages, scores = predicted(model.value, bytes_of(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(languages, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])
 
     return predict
 
 
+def language_of(model, text: Column) -> Column:
+    """A column (lang_pred, score) for a text column; model: a broadcast Network. Rows stay where they are."""
+
+    @F.pandas_udf("lang_pred string, score double")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        languages, scores = predicted(model.value, [(t or "").encode("utf-8", "replace") for t in texts])
+        return pd.DataFrame({"lang_pred": languages, "score": scores})
+
+    return of(text)
+
+
 def identify(docs: DataFrame, share: int = 3) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): the language of each whole text and its pooled probability.
 

@@ -31,12 +31,31 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskwright.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskwright.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskwright.llm.pii import listed, personal_data
+
+    out = personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(F.filter("spans", _base_of(k))).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+    return out.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def _base_of(kind: str):
+    return lambda s: s["base"] & (s["kind"] == kind)
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskwright.llm.licenses import license_scan
 
@@ -75,6 +94,6 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_fingerprints, op2_line_dedup, op3_language_id, op5_packing, op7_license_scan, op8_decontamination, op9_lm_scoring, op10_html_extraction)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_fingerprints, op2_line_dedup, op3_language_id, op4_near_dedup, op5_packing, op6_pii, op7_license_scan, op8_decontamination, op9_lm_scoring, op10_html_extraction)}
 
 ORACLE_SQL: dict[str, str] = {}
