@@ -1,2 +1,75 @@
+"""The training-corpus pipeline: five stages over documents, each written before the next reads it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from maskwright.llm.common import table, unique_rows, written
+from maskwright.llm.decontaminate import contamination, without_spans
+from maskwright.llm.language_id import UNKNOWN, language_of, learn
+from maskwright.llm.line_dedup import dedup_lines
+from maskwright.llm.near_dedup import near_duplicates
+from maskwright.llm.packing import pack
+
+#: A language is rejected under this pooled probability; mixed documents of two known languages lie above it.
+LEAST_SCORE = 0.35
+
+
+def _retexted(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The columns of docs for the documents in texts (doc_id, text), with that text and its length as n_chars."""
+    new = texts.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
+    own = unique_rows(docs).drop("text")
+    joined = own.join(new, own["doc_id"].eqNullSafe(new["__id"]))
+    made = {"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}
+    return joined.select(*[made[c].alias(c) if c in made else F.col(c) for c in docs.columns])
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the network knows; rows stay as and where they are."""
+    model = spark.sparkContext.broadcast(learn(docs))
+    found = docs.withColumn("__language", language_of(model, F.col("text")))
+    return found.filter((F.col("__language.lang_pred") != UNKNOWN) & (F.col("__language.score") >= LEAST_SCORE)).drop("__language")
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier document holds."""
+    return _retexted(docs, dedup_lines(docs).select("doc_id", F.col("kept_text").alias("text")))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least doc_id of each class of near copies."""
+    kept = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id"))
+    return unique_rows(docs).join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with windows of two benchmark items go; of one item, the hit words are cut out of the text."""
+    out = contamination(docs, table(spark, sf_dir, "benchmark")).filter(F.size("items") < 2)
+    return _retexted(docs, out.select("doc_id", without_spans(F.col("text"), F.col("spans")).alias("text")))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The kept documents' pieces and their places in sequences."""
+    return pack(docs)
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("line_dedup", line_stage),
+    ("near_dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to the documents table, each result written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+#: A trained network, a tokenizer and likeness over shingles are not SQL; tests hold the stages against plain Python.
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
