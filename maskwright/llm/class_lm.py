@@ -208,6 +208,21 @@ def _score(vocabulary, model, ends: int):
     return score
 
 
+def most_frequent(counts: DataFrame, limit: int) -> pa.Table:
+    """(h, n, ending) of the words above the least power of 2**(1/16) that at most limit words reach.
+
+    Counted by power first: one row for each, and no sort of the words.
+    """
+    power = F.floor(F.log2("n") * 16).cast("int")
+    by = sorted(((r["power"], r["count"]) for r in counts.groupBy(power.alias("power")).count().collect()), reverse=True)
+    least, held = 1 << 30, 0
+    for p, count in by:
+        if held + count > limit:
+            break
+        least, held = p, held + count
+    return counts.filter(power >= least).toArrow()
+
+
 def held_out(share: int):
     """Whether crc32 of the id as text (a null id: of the empty text) leaves 1 when divided by share."""
     return F.crc32(F.when(F.col("id") == NULL_ID, F.lit("")).otherwise(F.col("id").cast("string"))) % share == 1
@@ -234,7 +249,7 @@ def score_documents(docs: DataFrame, share: int = 5) -> DataFrame:
     ends = train.count()
     whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = whole["n"] + ends, whole["v"] + (ends > 0)
-    top = counts.orderBy(F.desc("n"), "h").limit(BROADCAST_WORDS).toArrow()
+    top = most_frequent(counts, BROADCAST_WORDS).sort_by([("n", "descending"), ("h", "ascending")])
     hashes, own = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
     vocabulary = spark.sparkContext.broadcast(Vocabulary(hashes, own))
     gathered = train.mapInArrow(_pairs(vocabulary), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
