@@ -52,14 +52,17 @@ def public_id(c: str = "id") -> Column:
     return F.nullif(F.col(c), F.lit(NULL_ID))
 
 
+_own_folder: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors see; one of our own only where the session names none, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _own_folder.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="shared-")
+        _own_folder[spark.sparkContext.applicationId] = folder
     return folder
 
 

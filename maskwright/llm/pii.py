@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from maskwright.llm.common import id_and_text, public_id
+from maskwright.llm.common import id_and_text, public_id, written
 
 #: Kinds in the order of their spans: the four with fixed rules, then those that only the method finds.
 KINDS = ("email", "ip", "card", "phone", "ssn", "secret")
@@ -47,6 +47,26 @@ def _passes(kind: str, m: Column) -> Column:
     return n.between(10, 15) if kind == "phone" else F.lit(True)
 
 
+_PIECE = "array<struct<kind:string,pos:int,gap:int,size:int,match:string,before:string,head:string>>"
+
+
+def _pieces(kind: str, pattern: str) -> Column:
+    """For each match, and for the text after the last, the gap before it."""
+
+    def piece(x, i):
+        return F.struct(
+            F.lit(kind).alias("kind"),
+            i.alias("pos"),
+            F.length(x["gap"]).alias("gap"),
+            F.length(x["m"]).alias("size"),
+            x["m"].alias("match"),
+            F.right(x["gap"], F.lit(24)).alias("before"),
+            F.left(x["gap"], F.lit(24)).alias("head"),
+        )
+
+    return F.transform(F.arrays_zip(F.split("text", pattern, -1).alias("gap"), F.col(kind).alias("m")), piece).cast(_PIECE)
+
+
 def matches(base: DataFrame, patterns: dict) -> DataFrame:
     """(id, kind, start, end, match, before, after) of each pattern's leftmost non-overlapping matches, in code points.
 
@@ -55,12 +75,11 @@ def matches(base: DataFrame, patterns: dict) -> DataFrame:
     """
     found = []
     for kind, (pattern, likely) in patterns.items():
-        held = base.filter(likely(F.col("text"))).select("id", "text", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("m")).filter(F.size("m") > 0)
-        gaps = held.select("id", F.posexplode(F.arrays_zip(F.split("text", pattern, -1).alias("gap"), "m")).alias("pos", "x"))
-        found.append(gaps.select("id", F.lit(kind).alias("kind"), "pos", F.length("x.gap").alias("gap"), F.length("x.m").alias("size"), F.col("x.m").alias("match"), F.right("x.gap", F.lit(24)).alias("before"), F.left("x.gap", F.lit(24)).alias("head")))
-    rows = found[0]
-    for more in found[1:]:
-        rows = rows.unionByName(more)
+        hits = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+        found.append(F.when(likely(F.col("text")), hits).otherwise(F.array().cast("array<string>")).alias(kind))
+    held = base.select("id", "text", *found).filter(" or ".join(f"size({k}) > 0" for k in patterns))
+    each = F.flatten(F.array(*[F.when(F.size(k) > 0, _pieces(k, p)).otherwise(F.array().cast(_PIECE)) for k, (p, _) in patterns.items()]))
+    rows = held.select("id", F.explode(each).alias("x")).select("id", "x.*")
     order = W.partitionBy("id", "kind").orderBy("pos")
     upto = order.rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = rows.withColumn("end", F.sum(F.col("gap") + F.coalesce("size", F.lit(0))).over(upto)).withColumn("after", F.lead("head").over(order))
@@ -230,13 +249,13 @@ def personal_data(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     base = id_and_text(docs)
     model = fitted(spark)
-    by_rule = matches(base, RULES)
+    every = written(matches(base, {**RULES, **GENERATORS}), "matches")
+    by_rule, candidates = (every.filter(F.col("kind").isin(*own)) for own in (RULES, GENERATORS))
     passes = F.lit(False)
     for kind in RULES:
         passes = passes | ((F.col("kind") == kind) & _passes(kind, F.col("match")))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int").alias("rank")
     sure = by_rule.filter(passes).select("id", "kind", rank, F.col("start").cast("long"), F.col("end").cast("long"), F.lit(1.0).alias("score"), F.lit(True).alias("base"))
-    candidates = matches(base, GENERATORS)
     of = features(F.col("match"), F.col("before"), F.col("after"))
     names = list(of)
     measured = candidates.select("id", F.col("kind").alias("by"), "start", "end", *[c.alias(n) for n, c in of.items()])
@@ -251,10 +270,10 @@ def personal_data(docs: DataFrame) -> DataFrame:
     added = chosen.select("id", F.col("x.kind").alias("kind"), "start", "end", F.col("x.score").alias("score"))
     added = added.select("id", "kind", rank, F.col("start").cast("long"), F.col("end").cast("long"), "score", F.lit(False).alias("base"))
     span = F.struct("start", "rank", "kind", "end", "score", "base")
-    every = sure.unionByName(added).groupBy("id").agg(F.sort_array(F.collect_list(span)).alias("spans"))
+    grouped = sure.unionByName(added).groupBy("id").agg(F.sort_array(F.collect_list(span)).alias("spans"))
     # of the added spans those stay that no base span overlaps: base spans are few, and sorted
     fixed = F.filter("spans", lambda s: s["base"])
-    own = every.select("id", "spans", fixed.alias("fixed"))
+    own = grouped.select("id", "spans", fixed.alias("fixed"))
     kept = F.filter("spans", lambda s: s["base"] | ~F.exists("fixed", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     out = base.join(own.select("id", kept.alias("spans")), "id", "left")
     none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint,score:double,base:boolean>>")
