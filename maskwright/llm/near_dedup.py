@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from maskwright.llm.common import Block, blocks_of, bytes_of, id_and_text, mixed, public_id, written
 from maskwright.llm.decontaminate import gram_hashes
@@ -16,6 +17,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: At likeness 0.8 a pair shares none of the bands with probability (1 - 0.8**ROWS)**BANDS = 3e-6.
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
+#: Leaders of a bucket in the first round after the stars, and how many times more in each later one.
+LEADERS, GROWTH = 16, 8
 BLOCK = 2 << 20
 SKETCH = "id long, k1 long, k2 long, bands array<long>, grams binary, weights binary"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -160,6 +163,60 @@ def classes(links: DataFrame) -> DataFrame:
             return labels
 
 
+def both_ways(pairs: DataFrame) -> DataFrame:
+    return pairs.select("a", "b", "likeness").union(pairs.select("b", "a", "likeness")).distinct()
+
+
+def compared(asked: DataFrame, sketch: DataFrame, known: DataFrame | None) -> DataFrame:
+    """(a, b, likeness), a < b, of the pairs asked for (two id columns) that are not among the known."""
+    one, two = asked.columns
+    pairs = asked.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).distinct()
+    if known is not None:
+        pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
+    return written(verified(pairs, sketch), "pairs")
+
+
+def stars(rows: DataFrame, sketch: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Compares the most central id of each bucket with the bucket's others. rows: (bucket, id).
+
+    An id is as central as its buckets are large in sum: the text that copies were made from shares more with each of
+    them than they share with each other. Gives all pairs known now, and (bucket, id, score, d) with each member's
+    distance from that leader, the leader left out.
+    """
+    full = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = written(rows.join(full, "bucket"), "buckets")
+    score = shared.groupBy("id").agg(F.sum("n").alias("score"))
+    scored = written(shared.select("bucket", "id").join(score, "id"), "buckets")
+    lead = scored.groupBy("bucket").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("lead"))
+    bucket = written(scored.join(lead, "bucket").filter("id <> lead"), "buckets")
+    new = compared(bucket.select("lead", "id"), sketch, known)
+    found = new if known is None else known.unionByName(new)
+    d = both_ways(found).select(F.col("a").alias("lead"), F.col("b").alias("id"), (1 - F.col("likeness")).alias("d"))
+    return found, written(bucket.join(d, ["lead", "id"]).select("bucket", "id", "score", "d"), "rest")
+
+
+def _grams(batches):
+    for batch in batches:
+        for i, g, w in zip(*(batch.column(c).to_pylist() for c in ("id", "grams", "weights"))):
+            own = np.frombuffer(g, "<u4").astype(np.int64)
+            share = np.ones(len(own)) if w is None else np.frombuffer(w, "<u4").astype(float)
+            own, where = np.unique(own, return_inverse=True)
+            share = np.bincount(where, share) / share.sum()
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), i)), pa.array(own), pa.array(share)], ["id", "gram", "share"])
+
+
+def prefixes(grams: DataFrame, similarity: float) -> DataFrame:
+    """(bucket, id): each document's rarest shingles, as many as leave less than `similarity` of its weight behind.
+
+    Alike documents share that much of the weight of each, so the rarest shingle that they share is among these of
+    both. A passage that many documents share is frequent and so last in the order: it brings none of them together.
+    """
+    counts = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    order = W.partitionBy("id").orderBy(F.desc("n"), F.desc("gram")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    left = grams.join(counts.filter("n > 1"), "gram", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("left", F.sum("share").over(order))
+    return left.filter((F.col("left") >= similarity - 1e-9) & (F.col("n") > 1)).select(F.col("gram").alias("bucket"), "id")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id): documents linked by chains of pairs with that likeness have the least doc_id of the class.
 
@@ -169,50 +226,48 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     null doc_id is an id that sorts first; rows that share a doc_id count as one document, the one of least text.
     Extra columns are not read. An empty table gives no rows.
 
-    In each band bucket the least id leads: it is compared with all others, so pairs grow with members, not with their
-    square. Members unlike their leader get the next least among them as leader, which is compared with all members,
-    linked ones too, that the distances from the first leader (a metric) leave in reach; and so on until each is a
-    leader or linked to one. Last, members of different classes that are linked to a leader and near to it are
-    compared where the distances leave a link open. So no link that shares a bucket is missed.
+    In each band bucket the most central id leads: it is compared with all others, so pairs grow with members, not with their
+    square. Members unlike their leader, and those that the distances from it (a metric) leave in reach of them, are
+    brought together again by their rarest shingles, an exact filter for the likeness: one leads, and in each further
+    round several times more of those still unlike lead, so rounds grow as the logarithm of such a group. Last,
+    members of one such group that are linked to leaders of different classes are compared. So no link that shares a band bucket is missed.
     """
     base = id_and_text(docs)
     sketch = written(base.mapInArrow(_sketch, SKETCH), "sketch")
     heads = sketch.groupBy("k1", "k2").agg(F.min("id").alias("head"))
     members = written(sketch.select("id", "k1", "k2").join(heads, ["k1", "k2"]).select("id", "head"), "members")
     own = sketch.join(heads.select(F.col("head").alias("id")), "id", "left_semi")
-    rows = own.select("id", F.explode("bands").alias("bucket"))
-    full = rows.groupBy("bucket").agg(F.min("id").alias("lead"), F.count("*").alias("n")).filter("n > 1")
-    bucket = written(rows.join(full.select("bucket", "lead"), "bucket"), "buckets")
-    pairs = written(verified(bucket.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), sketch), "pairs")
-    # (bucket, id, d): distance from the first leader; the first leader itself is done
-    d = pairs.select(F.col("a").alias("lead"), F.col("b").alias("id"), (1 - F.col("likeness")).alias("d"))
     reach = 1 - similarity + 1e-9
-    rest = written(bucket.join(d, ["lead", "id"]).select("bucket", "id", "d"), "rest")
+    found, rest = stars(own.select("id", F.explode("bands").alias("bucket")), sketch, None)
+    # what a bucket's leader leaves open: members unlike it, and those near enough to one of them by the distances
+    least = rest.filter(F.col("d") > reach).groupBy("bucket").agg(F.min("d").alias("least"))
+    open_ = rest.join(least, "bucket").filter(F.col("d") >= F.col("least") - reach).select("id").distinct()
+    rows = written(prefixes(written(sketch.join(open_, "id", "left_semi").mapInArrow(_grams, "id long, gram long, share double"), "grams"), similarity), "prefixes")
+    found, rest = stars(rows, sketch, found)
     free = written(rest.filter(F.col("d") > reach), "free")
-    found = pairs
+    leaders = LEADERS
+    covered = rest.filter(F.col("d") <= reach).select("bucket", "id")
     while not free.isEmpty():
-        lead = free.groupBy("bucket").agg(F.min_by(F.struct("id", "d"), "id").alias("l"))
-        lead = lead.select("bucket", F.col("l.id").alias("lead"), F.col("l.d").alias("ld"))
-        open_ = rest.join(lead, "bucket").filter((F.col("id") != F.col("lead")) & (F.abs(F.col("d") - F.col("ld")) <= reach))
-        asked = open_.select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
-        known = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        new = written(verified(asked.join(known, ["a", "b"], "left_anti"), sketch), "pairs")
-        found = found.unionByName(new)
-        linked = found.filter(F.col("likeness") >= similarity).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-        still = free.join(lead, "bucket").filter(F.col("id") != F.col("lead"))
-        still = still.withColumns({"x": F.least("lead", "id"), "y": F.greatest("lead", "id")}).join(linked.distinct(), ["x", "y"], "left_anti")
-        free = written(still.select("bucket", "id", "d"), "free")
+        first = W.partitionBy("bucket").orderBy(F.desc("score"), "id")
+        lead = free.withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= leaders).select("bucket", F.col("id").alias("lead"), F.col("d").alias("ld"))
+        asked = rest.join(lead, "bucket").filter((F.col("id") != F.col("lead")) & (F.abs(F.col("d") - F.col("ld")) <= reach))
+        found = found.unionByName(compared(asked.select("lead", "id"), sketch, found))
+        near = both_ways(found.filter(F.col("likeness") >= similarity)).select(F.col("a").alias("lead"), F.col("b").alias("id"))
+        leads = lead.select("bucket", F.col("lead").alias("id"))
+        left = free.join(leads, ["bucket", "id"], "left_anti")
+        linked = lead.join(near, "lead").select("bucket", "id").distinct()
+        covered = covered.unionByName(written(left.join(linked, ["bucket", "id"], "left_semi").select("bucket", "id"), "covered"))
+        free = written(left.join(linked, ["bucket", "id"], "left_anti"), "free")
+        leaders *= GROWTH
     links = found.filter(F.col("likeness") >= similarity).select("a", "b")
     labels = classes(links)
     # two members, each linked to a leader of its own, may be linked though neither leader is linked to the other's
-    sided = found.select("a", "b", "likeness").union(found.select("b", "a", "likeness")).toDF("lead", "id", "likeness").distinct()
-    sided = sided.join(labels, "id", "left").withColumn("class", F.coalesce("class", "id")).withColumn("d", 1 - F.col("likeness"))
-    inner = sided.filter(F.col("d") <= reach).select("lead", F.col("id").alias("x"), F.col("class").alias("cx"), F.col("d").alias("dx"))
-    outer = sided.filter((F.col("d") > reach) & (F.col("d") <= 2 * reach)).select("lead", F.col("id").alias("y"), F.col("class").alias("cy"), F.col("d").alias("dy"))
-    missed = inner.join(outer, "lead").filter((F.col("cx") != F.col("cy")) & (F.col("dy") - F.col("dx") <= reach) & (F.col("x") != F.col("y")))
-    missed = missed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    known = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    late = written(verified(missed.join(known, ["a", "b"], "left_anti"), sketch).filter(F.col("likeness") >= similarity), "late")
+    classed = written(covered.join(labels, "id"), "covered")
+    several = classed.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("bucket")
+    split = classed.join(several, "bucket")
+    other = split.select("bucket", F.col("id").alias("y"), F.col("class").alias("cy"))
+    missed = split.join(other, "bucket").filter((F.col("class") < F.col("cy"))).select(F.col("id").alias("x"), "y")
+    late = written(compared(missed.select("x", "y"), sketch, found).filter(F.col("likeness") >= similarity), "late")
     if not late.isEmpty():
         labels = classes(links.unionByName(late.select("a", "b")))
     out = members.join(labels.withColumnRenamed("id", "head"), "head", "left")
