@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import functions as F
 
 from maskwright.config import CN, US, Rule
@@ -43,7 +41,44 @@ SECRET = (CLOUD_KEY, PRIVATE_KEY, JWT, GIT_TOKEN, ENTROPY)
 DEFAULT = (EMAIL, BANK_CARD, IP, URL, INTL_PHONE, SECRET, CHINA_PHONE, CHINA_IDCARD, CHINA_LANDLINE, US_SSN, US_PHONE)
 
 
+#: Words of which one begins with another, and so on, deeper than this stay a plain list, longest first.
+MAX_NESTING = 200
+
+
+def _quoted(part: str) -> str:
+    return r"\Q" + part.replace(r"\E", r"\E\\E\Q") + r"\E"
+
+
+def _tree(words: list[str], at: int, depth: int) -> str | None:
+    """A pattern for the rests from place `at` of sorted distinct words, the longest first; null if it nests too deep.
+
+    Rests that begin alike share a branch, so at each place one branch at most goes on, however many words there are.
+    """
+    if depth > MAX_NESTING:
+        return None
+    ends, rest = len(words[0]) == at, words[1:] if len(words[0]) == at else words
+    branches, start = [], 0
+    for i in range(1, len(rest) + 1):
+        if i == len(rest) or rest[i][at] != rest[start][at]:
+            first, last = rest[start], rest[i - 1]
+            cut = at + 1
+            while cut < min(len(first), len(last)) and first[cut] == last[cut]:
+                cut += 1
+            tail = _tree(rest[start:i], cut, depth + 1)
+            if tail is None:
+                return None
+            branches.append(_quoted(first[at:cut]) + tail)
+            start = i
+    if not branches:
+        return ""
+    return f"(?:{'|'.join(branches)}){'?' if ends else ''}"
+
+
 def keyword_rule(words: tuple[str, ...]) -> Rule:
-    """Leftmost-longest literals: the longer of two words that start alike is tried first."""
-    longest = sorted(words, key=lambda w: (-len(w), w))
-    return Rule("keyword", "KEYWORD", "|".join(r"\Q" + w.replace(r"\E", r"\E\\E\Q") + r"\E" for w in longest), 1.0, likely=lambda t: F.lit(True) if len(words) > 50 else t.rlike("|".join(re.escape(w) for w in words)))
+    """Leftmost-longest literals: a pattern tree over their code points, entered only at a sign that a word begins with."""
+    own = sorted(set(words))
+    tree = _tree(own, 0, 0)
+    if tree is None:
+        tree = "|".join(_quoted(w) for w in sorted(own, key=lambda w: (-len(w), w)))
+    starts = "".join(rf"\x{{{ord(c):x}}}" for c in sorted({w[0] for w in own}))
+    return Rule("keyword", "KEYWORD", f"(?=[{starts}])(?:{tree})", 1.0)

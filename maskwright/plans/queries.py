@@ -10,7 +10,10 @@ from maskwright.operators import rules as R
 from maskwright.operators.mask import findings, mask
 from maskwright.operators.restore import restore
 from maskwright.operators.session import anonymize, mapping
+from maskwright.operators.transport import mask_requests, restore_responses
 from maskwright.sources.shared import shared_table
+from maskwright.streaming.event_stream import restore_event_chunks
+from maskwright.streaming.stream import restore_chunks
 
 #: Texts made from keys, for entities that the documents do not hold: name, table, id, expression (Spark and DuckDB).
 _ID = "lpad(cast({} as string), {}, '0')"
@@ -175,7 +178,60 @@ def restore_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", "restored", F.size(F.filter("restore_events", lambda e: ~e["restored"])).cast("long").alias("n_left"))
 
 
-_OTHERS = (mask_documents, mask_contacts, region_us_only, entropy_secrets, keywords_leftmost_longest, resolve_overlaps, entity_report, anonymize_sessions, anonymize_repeats, anonymize_documents, anonymize_conversations, mapping_table, restore_roundtrip, restore_unresolved)
+_JSON = "array(named_struct('name', 'Content-Type', 'value', 'application/json; charset=utf-8'), named_struct('name', 'Content-Length', 'value', '1'))"
+_MAIL_OF, _TEL_OF = "concat('c', cast(c_custkey as string), '@example.com')", "concat('138', lpad(cast(c_custkey as string), 8, '0'))"
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = f"""concat('{{"model": "m", "user":"', {_MAIL_OF}, '", "messages": [{{"role":"user", "content": "mail ', {_MAIL_OF}, '"}}, {{"content":[{{"type":"text","text":"tel \\\\u0031', substring({_TEL_OF}, 2), ' or ', {_MAIL_OF}, '"}}]}}]}}')"""
+    return _read(spark, sf_dir, "customer").selectExpr("c_custkey as request_id", "if(c_custkey % 7 = 0, 'GET', 'POST') as method", f"{_JSON} as headers", f"encode({body}, 'UTF-8') as body")
+
+
+def json_requests_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chat requests: free text is masked, all other bytes stay; another method passes untouched."""
+    out, _ = mask_requests(_requests(spark, sf_dir))
+    return out.select("request_id", "outcome", F.decode("out_body", "UTF-8").alias("body"), F.size("out_headers").cast("long").alias("n_headers"), F.size("mask_events").cast("long").alias("n_events"))
+
+
+def json_requests_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the responses are restored with: a plaintext that two texts of a request share has one placeholder."""
+    return mask_requests(_requests(spark, sf_dir))[1]
+
+
+def json_responses_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = _read(spark, sf_dir, "customer").selectExpr("c_custkey as request_id", "'[EMAIL_1]' as placeholder", f"{_MAIL_OF} as plaintext")
+    body = """'{"id":"[EMAIL_1]","choices":[{"message":{"content":"to [EMAIL_01] \\\\/ [PHONE_3]","tool_calls":[{"function":{"arguments":"{}"}}]}}]}'"""
+    replies = _read(spark, sf_dir, "customer").selectExpr("c_custkey as request_id", "if(c_custkey % 5 = 0, 206, 200) as status", f"{_JSON} as headers", f"encode({body}, 'UTF-8') as body")
+    out = restore_responses(replies, known)
+    return out.select("request_id", "outcome", F.decode("out_body", "UTF-8").alias("body"), F.size("out_headers").cast("long").alias("n_headers"), F.size("restore_events").cast("long").alias("n_events"))
+
+
+def event_streams_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A placeholder that is split over two events comes back in a frame of its own before the last one."""
+    one = """'data: {"choices":[{"index":0,"delta":{"content":"to [EMA"}}]}\\n\\n'"""
+    two = """'data: {"choices":[{"index":0,"delta":{"content":"IL_1] ok"},"finish_reason":"stop"}]}\\n\\ndata: [DONE]\\n\\n'"""
+    chunk = f"encode(if(chunk_no = 0, {one}, {two}), 'UTF-8') as chunk"
+    chunks = _read(spark, sf_dir, "customer").selectExpr("cast(c_custkey as string) as stream_id", f"map('[EMAIL_1]', {_MAIL_OF}) as mapping", "explode(array(1L, 0L)) as chunk_no").selectExpr("stream_id", "chunk_no", chunk, "chunk_no = 1 as is_eof", "mapping")
+    out = restore_event_chunks(chunks)
+    return out.groupBy("stream_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_no", "segment_no", "bytes"))), lambda s: F.decode(s["bytes"], "UTF-8")), "").alias("body"))
+
+
+def text_chunks_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chunk boundary within a placeholder does not change the text."""
+    chunk = "encode(element_at(array('to [EMA', 'IL_1', '] and EMAIL_2'), cast(chunk_no + 1 as int)), 'UTF-8') as chunk"
+    chunks = _read(spark, sf_dir, "customer").selectExpr("cast(c_custkey as string) as stream_id", f"map('[EMAIL_1]', {_MAIL_OF}) as mapping", "explode(array(2L, 0L, 1L)) as chunk_no").selectExpr("stream_id", "chunk_no", chunk, "chunk_no = 2 as is_eof", "mapping")
+    out = restore_chunks(chunks)
+    return out.groupBy("stream_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_no", "text"))), lambda s: s["text"]), "").alias("text"), F.sum(F.size("events")).alias("n_events"))
+
+
+def keywords_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A thousand keywords, most of which the texts do not hold, found by one pattern tree."""
+    words = [f"{w}{i}" for w in ("no such word ", "license ", "page ") for i in range(333)] + ["License", "the MIT", "the MIT License"]
+    engine = Engine().with_recognizers().with_keywords(*words)
+    return mask(_read(spark, sf_dir, "documents").select("doc_id", "text"), engine).select("doc_id", "masked")
+
+
+_OTHERS = (json_requests_masked, json_requests_mapping, json_responses_restored, event_streams_restored, text_chunks_restored, keywords_many, mask_documents, mask_contacts, region_us_only, entropy_secrets, keywords_leftmost_longest, resolve_overlaps, entity_report, anonymize_sessions, anonymize_repeats, anonymize_documents, anonymize_conversations, mapping_table, restore_roundtrip, restore_unresolved)
 QUERIES = {**{k: _finder(*v) for k, v in _FINDERS.items()}, **{f.__name__: f for f in _OTHERS}, "strategy_mask_middle": _strategy("mask_middle"), "strategy_hash": _strategy("hash")}
 
 _MAIL, _TEL = "concat('c', cast(c_custkey as varchar), '@example.com')", "concat('138', lpad(cast(c_custkey as varchar), 8, '0'))"
@@ -183,7 +239,19 @@ _MIDDLE = "concat(left({0}, 3), repeat('*', cast(length({0}) - 7 as int)), right
 _ENTROPY = "list_sum(list_transform(list_distinct(string_split(w, '')), lambda c: -(len(list_filter(string_split(w, ''), lambda x: x = c)) / 10.0) * log2(len(list_filter(string_split(w, ''), lambda x: x = c)) / 10.0)))"
 _RN = "cast(row_number() over (partition by c_nationkey order by c_custkey) as varchar)"
 _IDS = f"select id, text[4:] as v from ({_texts_sql('cust_idcard')})"
+_USER = f"""concat('{{"model": "m", "user":"', {_MAIL}, '", "messages": [{{"role":"user", "content": "mail ')"""
 ORACLE_SQL = {
+    "json_requests_masked": f"""select c_custkey as request_id, case when c_custkey % 7 = 0 then 'bypass' else 'masked' end as outcome,
+ case when c_custkey % 7 = 0 then concat({_USER}, {_MAIL}, '"}}, {{"content":[{{"type":"text","text":"tel \\u0031', substring({_TEL}, 2), ' or ', {_MAIL}, '"}}]}}]}}')
+ else concat({_USER}, '[EMAIL_1]"}}, {{"content":[{{"type":"text","text":"tel [PHONE_1] or [EMAIL_1]"}}]}}]}}') end as body,
+ cast(2 as bigint) as n_headers, cast(case when c_custkey % 7 = 0 then 0 else 3 end as bigint) as n_events from customer""",
+    "json_requests_mapping": f"select c_custkey as request_id, '[EMAIL_1]' as placeholder, 'EMAIL' as entity, {_MAIL} as plaintext from customer where c_custkey % 7 <> 0 union all select c_custkey, '[PHONE_1]', 'PHONE', {_TEL} from customer where c_custkey % 7 <> 0",
+    "json_responses_restored": f"""select c_custkey as request_id, case when c_custkey % 5 = 0 then 'failed' else 'restored' end as outcome,
+ case when c_custkey % 5 <> 0 then concat('{{"id":"[EMAIL_1]","choices":[{{"message":{{"content":"to ', {_MAIL}, ' / [PHONE_3]","tool_calls":[{{"function":{{"arguments":"{{}}"}}}}]}}}}]}}') end as body,
+ cast(case when c_custkey % 5 = 0 then 0 else 2 end as bigint) as n_headers, cast(case when c_custkey % 5 = 0 then 0 else 2 end as bigint) as n_events from customer""",
+    "event_streams_restored": f"""select cast(c_custkey as varchar) as stream_id, concat('data: {{"choices":[{{"index":0,"delta":{{"content":"to "}}}}]}}', chr(10), chr(10), 'data: {{"choices":[{{"index":0,"delta":{{"content":"', {_MAIL}, ' ok"}}}}]}}', chr(10), chr(10),
+ 'data: {{"choices":[{{"index":0,"delta":{{"content":""}},"finish_reason":"stop"}}]}}', chr(10), chr(10), 'data: [DONE]', chr(10), chr(10)) as body from customer""",
+    "text_chunks_restored": f"select cast(c_custkey as varchar) as stream_id, concat('to ', {_MAIL}, ' and EMAIL_2') as text, cast(2 as bigint) as n_events from customer",
     **{k: _finder_sql(*v, _PREDICATES.get(k, "true"), _PATTERNS.get(k)) for k, v in _FINDERS.items()},
     "mask_contacts": "select c_custkey as id, 'mail [EMAIL_1] tel [PHONE_1]' as masked, cast(2 as bigint) as n_events from customer",
     "region_us_only": f"select c_custkey as id, concat('mail [EMAIL_1] tel ', {_TEL}) as masked from customer",

@@ -20,7 +20,8 @@ OPEN = re.compile("(?:[\\[【](?:[A-Z][A-Z0-9]*(?:_[0-9]*)?)?|[A-Z][A-Z0-9]*(?:_
 class StreamRestorer:
     """write(chunk) and flush() give (text, events); events: (entity, placeholder, restored). Errors repeat for good.
 
-    All state is in `state()`, a JSON text, so that a restorer can go on in another process.
+    pieces: the last text in parts, each with the event that ends it, if one does. All state is in `state()`, a JSON
+    text, so that a restorer can go on in another process.
     """
 
     def __init__(self, mapping: dict[str, str], engine: Engine | None = None, state: str | None = None):
@@ -30,6 +31,11 @@ class StreamRestorer:
         self.tail = own.get("tail", "")
         self.read, self.made, self.events, self.report = own.get("counts", [0, 0, 0, 0])
         self.failed, self.closed = own.get("failed"), own.get("closed", False)
+        self.pieces: list[tuple[str, list[tuple[str, str, bool]]]] = []
+
+    def withheld(self) -> int:
+        """Bytes that are read but not given out yet."""
+        return len(self.bytes) + len(self.tail.encode())
 
     def state(self) -> str:
         return json.dumps({"bytes": self.bytes.hex(), "tail": self.tail, "counts": [self.read, self.made, self.events, self.report], "failed": self.failed, "closed": self.closed})
@@ -90,6 +96,7 @@ class StreamRestorer:
 
     def _emit(self, text: str, last: bool) -> tuple[str, list[tuple[str, str, bool]]]:
         data, at, parts, events = self.tail + text, 0, [], []
+        self.pieces = []
         hold = len(data)
         for m in TOKEN.finditer(data):
             if not last and m.end() == len(data) and data[m.end() - 1] not in "]】":
@@ -99,6 +106,7 @@ class StreamRestorer:
             plain = self.mapping.get(f"[{entity}_{int(digits)}]") if len(digits) <= self.engine.max_seq_digits else None
             parts += [data[at : m.start()], m[0] if plain is None else plain]
             events.append((entity, m[0], plain is not None))
+            self.pieces += [(parts[-2], []), (parts[-1], events[-1:])]
             at = m.end()
             self.events += 1
             self.report += len(entity) + len(m[0].encode())
@@ -106,6 +114,7 @@ class StreamRestorer:
             m = OPEN.search(data, at)
             hold = m.start() if m else hold
         parts.append(data[at:hold])
+        self.pieces.append((parts[-1], []))
         self.tail = data[hold:]
         out = "".join(parts)
         self.made += len(out.encode())
