@@ -6,7 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -19,6 +19,8 @@ BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
 #: Leaders of a bucket in the first round after the stars, and how many times more in each later one.
 LEADERS, GROWTH = 16, 8
+#: Shingles before its own that a row of the prefix filter names.
+BEFORE = 16
 BLOCK = 2 << 20
 SKETCH = "id long, k1 long, k2 long, bands array<long>, grams binary, weights binary"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -177,22 +179,23 @@ def compared(asked: DataFrame, sketch: DataFrame, known: DataFrame | None) -> Da
 
 
 def stars(rows: DataFrame, sketch: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Compares the most central id of each bucket with the bucket's others. rows: (bucket, id).
+    """Compares the most central id of each bucket with the bucket's others. rows: (bucket, id, more columns).
 
     An id is as central as its buckets are large in sum: the text that copies were made from shares more with each of
-    them than they share with each other. Gives all pairs known now, and (bucket, id, score, d) with each member's
+    them than they share with each other. Gives all pairs known now, and (bucket, id, more, score, d) with each member's
     distance from that leader, the leader left out.
     """
+    more = rows.columns
     full = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     shared = written(rows.join(full, "bucket"), "buckets")
     score = shared.groupBy("id").agg(F.sum("n").alias("score"))
-    scored = written(shared.select("bucket", "id").join(score, "id"), "buckets")
+    scored = written(shared.select(*more).join(score, "id"), "buckets")
     lead = scored.groupBy("bucket").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("lead"))
     bucket = written(scored.join(lead, "bucket").filter("id <> lead"), "buckets")
     new = compared(bucket.select("lead", "id"), sketch, known)
     found = new if known is None else known.unionByName(new)
     d = both_ways(found).select(F.col("a").alias("lead"), F.col("b").alias("id"), (1 - F.col("likeness")).alias("d"))
-    return found, written(bucket.join(d, ["lead", "id"]).select("bucket", "id", "score", "d"), "rest")
+    return found, written(bucket.join(d, ["lead", "id"]).select(*more, "score", "d"), "rest")
 
 
 def _grams(batches):
@@ -206,15 +209,36 @@ def _grams(batches):
 
 
 def prefixes(grams: DataFrame, similarity: float) -> DataFrame:
-    """(bucket, id): each document's rarest shingles, as many as leave less than `similarity` of its weight behind.
+    """(bucket, id, left, before): each document's rarest shingles, as many as leave less than `similarity` of its weight.
 
     Alike documents share that much of the weight of each, so the rarest shingle that they share is among these of
     both. A passage that many documents share is frequent and so last in the order: it brings none of them together.
+    left: the weight from this shingle on. before: the shingles of the prefix that come just before it, see meet_first().
+    A bucket whose members all have the same shingle just before it is left out: they all meet in that one's bucket.
     """
     counts = grams.groupBy("gram").agg(F.count("*").alias("n"))
-    order = W.partitionBy("id").orderBy(F.desc("n"), F.desc("gram")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    left = grams.join(counts.filter("n > 1"), "gram", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("left", F.sum("share").over(order))
-    return left.filter((F.col("left") >= similarity - 1e-9) & (F.col("n") > 1)).select(F.col("gram").alias("bucket"), "id")
+    by_rank = W.partitionBy("id").orderBy(F.desc("n"), F.desc("gram"))
+    left = grams.join(counts.filter("n > 1"), "gram", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    left = left.withColumn("left", F.sum("share").over(by_rank.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    kept = left.filter((F.col("left") >= similarity - 1e-9) & (F.col("n") > 1))
+    rows = kept.select(F.col("gram").alias("bucket"), "id", "left", F.collect_list("gram").over(by_rank.rowsBetween(1, BEFORE)).alias("before"))
+    rows = written(rows, "prefixes")
+    last = F.get("before", F.lit(0))
+    whole = rows.groupBy("bucket").agg(F.min(last).alias("least"), F.max(last).alias("most"), F.min(F.size("before")).alias("some"))
+    inside = whole.filter("some > 0 and least = most").select("bucket")
+    return rows.join(inside, "bucket", "left_anti")
+
+
+def meet_first(similarity: float, one: str = "", two: str = "l") -> Column:
+    """Whether two members of a bucket can be alike and do not meet in an earlier one. Columns left, before of each.
+
+    Where they share none of the shingles just before, this may be the rarest that they share. Then the parts s and t of
+    their weights that they share are at most what is left from here on, and their likeness at most 1 / (1/s + 1/t - 1):
+    the sum over shared i of 1 / (x + (1 - t) y) with 1/x, 1/y the shares of i, which is concave in these, is at most
+    its value for their sums s and t.
+    """
+    bound = 1 / F.col(f"{one}left") + 1 / F.col(f"{two}left") <= 1 / similarity + 1 + 1e-6
+    return bound & ~F.arrays_overlap(f"{one}before", f"{two}before")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -242,21 +266,22 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     # what a bucket's leader leaves open: members unlike it, and those near enough to one of them by the distances
     least = rest.filter(F.col("d") > reach).groupBy("bucket").agg(F.min("d").alias("least"))
     open_ = rest.join(least, "bucket").filter(F.col("d") >= F.col("least") - reach).select("id").distinct()
-    rows = written(prefixes(written(sketch.join(open_, "id", "left_semi").mapInArrow(_grams, "id long, gram long, share double"), "grams"), similarity), "prefixes")
+    rows = prefixes(written(sketch.join(open_, "id", "left_semi").mapInArrow(_grams, "id long, gram long, share double"), "grams"), similarity)
     found, rest = stars(rows, sketch, found)
     free = written(rest.filter(F.col("d") > reach), "free")
     leaders = LEADERS
-    covered = rest.filter(F.col("d") <= reach).select("bucket", "id")
+    place = ["bucket", "id", "left", "before"]
+    covered = rest.filter(F.col("d") <= reach).select(*place)
     while not free.isEmpty():
         first = W.partitionBy("bucket").orderBy(F.desc("score"), "id")
-        lead = free.withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= leaders).select("bucket", F.col("id").alias("lead"), F.col("d").alias("ld"))
-        asked = rest.join(lead, "bucket").filter((F.col("id") != F.col("lead")) & (F.abs(F.col("d") - F.col("ld")) <= reach))
+        lead = free.withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= leaders).select("bucket", F.col("id").alias("lead"), F.col("d").alias("ld"), F.col("left").alias("lleft"), F.col("before").alias("lbefore"))
+        asked = rest.join(lead, "bucket").filter((F.col("id") != F.col("lead")) & (F.abs(F.col("d") - F.col("ld")) <= reach) & meet_first(similarity))
         found = found.unionByName(compared(asked.select("lead", "id"), sketch, found))
         near = both_ways(found.filter(F.col("likeness") >= similarity)).select(F.col("a").alias("lead"), F.col("b").alias("id"))
         leads = lead.select("bucket", F.col("lead").alias("id"))
         left = free.join(leads, ["bucket", "id"], "left_anti")
         linked = lead.join(near, "lead").select("bucket", "id").distinct()
-        covered = covered.unionByName(written(left.join(linked, ["bucket", "id"], "left_semi").select("bucket", "id"), "covered"))
+        covered = covered.unionByName(written(left.join(linked, ["bucket", "id"], "left_semi").select(*place), "covered"))
         free = written(left.join(linked, ["bucket", "id"], "left_anti"), "free")
         leaders *= GROWTH
     links = found.filter(F.col("likeness") >= similarity).select("a", "b")
@@ -265,8 +290,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     classed = written(covered.join(labels, "id"), "covered")
     several = classed.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("bucket")
     split = classed.join(several, "bucket")
-    other = split.select("bucket", F.col("id").alias("y"), F.col("class").alias("cy"))
-    missed = split.join(other, "bucket").filter((F.col("class") < F.col("cy"))).select(F.col("id").alias("x"), "y")
+    other = split.select("bucket", F.col("id").alias("y"), F.col("class").alias("cy"), F.col("left").alias("lleft"), F.col("before").alias("lbefore"))
+    missed = split.join(other, "bucket").filter((F.col("class") < F.col("cy")) & meet_first(similarity)).select(F.col("id").alias("x"), "y")
     late = written(compared(missed.select("x", "y"), sketch, found).filter(F.col("likeness") >= similarity), "late")
     if not late.isEmpty():
         labels = classes(links.unionByName(late.select("a", "b")))
