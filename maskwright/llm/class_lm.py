@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -9,127 +11,161 @@ from pyspark.sql import functions as F
 
 from maskwright.llm.common import NULL_ID, blocks_of, bytes_of, id_and_text, mixed, public_id, token_block, written
 
-CLASSES = 32
-#: Most frequent words that the exchange moves one by one; the rest move together with the words of like endings.
-OWN_ITEMS = 600
-ENDINGS = 128
-#: Most frequent words whose counts are broadcast; the counts of the rest are joined by shuffle.
+#: Word classes, and words that the exchange moves one by one, of a small vocabulary; both grow with it.
+LEAST_CLASSES, LEAST_OWN = 31, 600
+#: Most frequent words whose counts and classes are broadcast; those of the rest are joined by shuffle.
 BROADCAST_WORDS = 1 << 18
 #: Entries that a task gathers before it hands them on.
 GATHERED = 1 << 20
-#: Sweeps of the exchange at most; it ends earlier when no item moves.
-SWEEPS = 6
-ITEMS = OWN_ITEMS + 1 + ENDINGS
-END_ITEM = OWN_ITEMS
+#: Steps of a nat in which contexts are weighed: sums of whole numbers do not depend on their order.
+STEPS = 1 << 16
+
+
+def own_words(distinct: int) -> int:
+    """Words that are exchanged one by one: their pairs are no more than the words of the vocabulary."""
+    return max(LEAST_OWN, math.isqrt(distinct))
 
 
-def endings(block) -> np.ndarray:
-    """For each token the bucket of its last two bytes and whether it has four or more."""
-    last = block.buf[block.ends - 1].astype(np.uint64)
-    size = block.ends - block.starts
-    prior = np.where(size > 1, block.buf[np.maximum(block.ends - 2, 0)], 0).astype(np.uint64)
-    return (mixed(last * np.uint64(512) + prior * np.uint64(2) + (size > 3)) % np.uint64(ENDINGS)).astype(np.int64)
+def word_classes(distinct: int) -> int:
+    return max(LEAST_CLASSES, int(1.25 * distinct**0.25))
 
 
 def _summed(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
-    """Distinct keys with their rows' sum of the first value and any of the second."""
+    """Distinct keys with their rows' sum of the first value and any of the others."""
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     return [keys[first], np.add.reduceat(values[0][order], first) if len(first) else values[0][:0], *[v[order][first] for v in values[1:]]]
 
 
-def _count(batches):
-    held: list[list[np.ndarray]] = []
-    size = 0
+class Gathered:
+    """Sums by key of what a task's blocks add; add() and rest() yield [keys, sums, *values] to hand on."""
+
+    def __init__(self):
+        self.held: list[list[np.ndarray]] = []
+        self.size = 0
 
-    def batch_of(parts):
-        keys, n, ending = _summed(*[np.concatenate(x) for x in zip(*parts)])
-        return keys, n, ending
+    def merge(self) -> None:
+        self.held = [_summed(*[np.concatenate(x) for x in zip(*self.held)])]
+        self.size = len(self.held[0][0])
 
-    def row(keys, n, ending):
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n), pa.array(ending.astype(np.int32))], ["h", "n", "ending"])
+    def add(self, keys: np.ndarray, *values: np.ndarray):
+        if len(keys):
+            self.held.append(_summed(keys, *values))
+            self.size += len(self.held[-1][0])
+        if self.size > 2 * GATHERED:
+            self.merge()
+            if self.size > GATHERED:
+                yield self.held[0]
+                self.held, self.size = [], 0
 
+    def rest(self):
+        if self.held:
+            self.merge()
+            yield self.held[0]
+
+
+def _blocks(batches):
+    """(batch, first and last text, token block) of all texts."""
     for batch in batches:
         texts = bytes_of(batch.column("text"))
         for a, b in blocks_of(texts):
-            block = token_block(texts[a:b])
-            if len(block.hashes):
-                own = _summed(block.hashes, np.ones(len(block.hashes), np.int64), endings(block))
-                held.append(own)
-                size += len(own[0])
-            if size > 2 * GATHERED:
-                held = [list(batch_of(held))]
-                size = len(held[0][0])
-                if size > GATHERED:
-                    yield row(*held[0])
-                    held, size = [], 0
-    if held:
-        yield row(*batch_of(held))
+            yield batch, a, b, token_block(texts[a:b])
+
+
+def _count(batches):
+    words = Gathered()
+    row = lambda x: pa.RecordBatch.from_arrays([pa.array(x[0].view(np.int64)), pa.array(x[1])], ["h", "n"])
+    for _, _, _, block in _blocks(batches):
+        yield from map(row, words.add(block.hashes, np.ones(len(block.hashes), np.int64)))
+    yield from map(row, words.rest())
 
 
 class Vocabulary:
-    """Sorted hashes of the broadcast words with their counts and, for the first OWN_ITEMS of them, their item."""
+    """Sorted hashes of the broadcast words with their counts, and a number for each: its item, later its class.
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+    Items are the ranks of the first `own` words, then the end, then all other words as one.
+    """
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, own: int):
         order = np.argsort(hashes)
         self.hashes, self.counts = hashes[order], counts[order]
-        self.item = np.where(order < OWN_ITEMS, order, -1)
+        self.end, self.rest = own, own + 1
+        self.number = np.where(order < own, order, self.rest)
+
+    def classed(self, of: np.ndarray) -> Vocabulary:
+        """The same words with the classes of their items."""
+        out = Vocabulary(self.hashes, self.counts, 0)
+        out.number, out.end, out.rest = of[self.number], int(of[self.end]), int(of[self.rest])
+        return out
 
     def look(self, block) -> tuple[np.ndarray, np.ndarray]:
-        """For each token its count (-1: not among these words) and its item."""
-        items = endings(block) + OWN_ITEMS + 1
+        """For each token its count (-1: not among these words) and its number."""
         if not len(self.hashes):
-            return np.full(len(items), -1), items
+            return np.full(len(block.hashes), -1), np.full(len(block.hashes), self.rest)
         k = np.minimum(np.searchsorted(self.hashes, block.hashes), len(self.hashes) - 1)
         same = self.hashes[k] == block.hashes
-        own = same & (self.item[k] >= 0)
-        return np.where(same, self.counts[k], -1), np.where(own, self.item[k], items)
+        return np.where(same, self.counts[k], -1), np.where(same, self.number[k], self.rest)
 
 
-def sequences(block, items: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """The items of all texts in a row, an end before the first and after each; and the text of each end or word."""
+def sequences(block, numbers: np.ndarray, texts: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The numbers of all texts in a row, an end before the first and after each; the text of each end or word; and
+    the place of each token."""
     per = np.bincount(block.doc, minlength=texts)
     ends = np.cumsum(per + 1)
-    line = np.full(len(items) + texts + 1, END_ITEM, np.int64)
-    line[1 + np.arange(len(items)) + block.doc] = items
-    return line, np.searchsorted(ends, np.arange(len(line) - 1), "right")
+    line = np.full(len(numbers) + texts + 1, end, np.int64)
+    at = 1 + np.arange(len(numbers)) + block.doc
+    line[at] = numbers
+    return line, np.searchsorted(ends, np.arange(len(line) - 1), "right"), at
 
 
 def _pairs(vocabulary):
+    """Counts of item pairs, code = first * items + second."""
+
     def gather(batches):
-        total = np.zeros(ITEMS * ITEMS, np.int64)
-        for batch in batches:
-            texts = bytes_of(batch.column("text"))
-            for a, b in blocks_of(texts):
-                block = token_block(texts[a:b])
-                line, _ = sequences(block, vocabulary.value.look(block)[1], b - a)
-                np.add.at(total, *np.unique(line[:-1] * ITEMS + line[1:], return_counts=True))
-        codes = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(total[codes])], ["code", "n"])
+        words, pairs = vocabulary.value, Gathered()
+        row = lambda x: pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1])], ["code", "n"])
+        for _, a, b, block in _blocks(batches):
+            line, _, _ = sequences(block, words.look(block)[1], b - a, words.end)
+            code = line[:-1] * (words.rest + 1) + line[1:]
+            yield from map(row, pairs.add(code, np.ones(len(code), np.int64)))
+        yield from map(row, pairs.rest())
 
     return gather
 
 
-def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
-    """The class of each item, by the exchange algorithm: each item in turn, frequent ones first, moves to the class
-    that raises the likelihood of the class bigrams most, until a sweep moves none. The end has the last class alone.
+def exchange(codes: np.ndarray, counts: np.ndarray, items: int, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each item and the counts of class pairs, by the exchange algorithm: each item in turn, frequent
+    ones first, moves to the class that raises the likelihood of the class bigrams most, until a sweep moves none.
+
+    codes: first * items + second of the pairs that occur. The last two items, the end and all other words, have the
+    last two classes alone.
     """
-    n = len(pairs)
     h = lambda x: np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
-    freq = pairs.sum(0) + pairs.sum(1)
+    sides = []
+    for key, other in ((codes // items, codes % items), (codes % items, codes // items)):
+        by = np.argsort(key, kind="stable")
+        sides.append((np.searchsorted(key[by], np.arange(items + 1)), other[by], counts[by].astype(np.float64)))
+    (row_at, row_item, row_n), (col_at, col_item, col_n) = sides
+    freq = np.bincount(codes // items, counts, items) + np.bincount(codes % items, counts, items)
     order = np.argsort(-freq, kind="stable")
-    order = order[(order != END_ITEM) & (freq[order] > 0)]
-    of = np.zeros(n, np.int64)
-    of[order] = np.arange(len(order)) % (classes - 1)
-    of[END_ITEM] = classes - 1
-    onto = np.eye(classes)[of]
-    m = onto.T @ pairs @ onto
-    for _ in range(sweeps):
+    order = order[(order < items - 2) & (freq[order] > 0)]
+    of = np.zeros(items, np.int64)
+    of[order] = np.arange(len(order)) % classes
+    of[items - 2], of[items - 1] = classes, classes + 1
+    size = classes + 2
+    m = np.bincount(of[codes // items] * size + of[codes % items], counts, size * size).reshape(size, size)
+    # a gain under what rounding leaves of the sums is none; with it, the sweeps end
+    least = 1e-9 + 1e-12 * float(h(m.sum()))
+    moved = 1
+    while moved:
         moved = 0
         for i in order.tolist():
-            a, own = of[i], pairs[i, i]
-            out, into = pairs[i] @ onto, onto.T @ pairs[:, i]
+            a = of[i]
+            to, n_to = row_item[row_at[i] : row_at[i + 1]], row_n[row_at[i] : row_at[i + 1]]
+            back, n_back = col_item[col_at[i] : col_at[i + 1]], col_n[col_at[i] : col_at[i + 1]]
+            own = n_to[to == i].sum()
+            out, into = np.bincount(of[to], n_to, size), np.bincount(of[back], n_back, size)
             out[a] -= own
             into[a] -= own
             m[a, :] -= out
@@ -141,75 +177,159 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
             diagonal = np.diagonal(m)
             gain = rows.sum(1) - np.diagonal(rows) + cols.sum(0) - np.diagonal(cols)
             gain += h(diagonal + out + into + own) - h(diagonal)
-            left, right = m.sum(1), m.sum(0)
-            gain -= h(left + pairs[i].sum()) - h(left) + h(right + pairs[:, i].sum()) - h(right)
-            gain[classes - 1] = -np.inf
+            left, right = m.sum(1) + into, m.sum(0) + out
+            gain -= h(left + n_to.sum()) - h(left) + h(right + n_back.sum()) - h(right)
+            gain[classes:] = -np.inf
             b = int(np.argmax(gain))
-            if gain[b] <= gain[a] + 1e-9:
+            if gain[b] <= gain[a] + least:
                 b = a
             m[b, :] += out
             m[:, b] += into
             m[b, b] += own
             if b != a:
-                onto[i, a], onto[i, b], of[i] = 0.0, 1.0, b
+                of[i] = b
                 moved += 1
-        if not moved:
-            break
-    return of
+    return of, m
+
+
+def _neighbours(vocabulary, learned: bool):
+    """Rows (id, h, key, n) about the words without a class (learned: of those that are broadcast; else of the others).
+
+    h, key, n: how often the word has a neighbour of a class in training, key = class before, or classes + class after.
+    Unless learned also: id, h for each word of a document, and key, n for pairs of classes in training.
+    """
+    names = ["id", "h", "key", "n"]
+
+    def rows(length, **own):
+        kinds = {"id": pa.int64(), "h": pa.int64(), "key": pa.int32(), "n": pa.int64()}
+        return pa.RecordBatch.from_arrays([pa.array(own[c], kinds[c]) if c in own else pa.nulls(length, kinds[c]) for c in names], names)
+
+    def gather(batches):
+        words, near = vocabulary.value, Gathered()
+        size = words.rest + 1
+        total = np.zeros(size * size, np.int64)
+        row = lambda x: rows(len(x[0]), h=x[2].view(np.int64), key=x[3].astype(np.int32), n=x[1])
+        for batch, a, b, block in _blocks(batches):
+            ids, train = batch.column("id").to_numpy()[a:b], batch.column("train").to_numpy(zero_copy_only=False)[a:b]
+            count, numbers = words.look(block)
+            line, text, at = sequences(block, numbers, b - a, words.end)
+            open_ = (count >= 0) & (numbers == words.rest) if learned else count < 0
+            own = np.flatnonzero(open_ & train[block.doc])
+            hs = np.tile(block.hashes[own], 2)
+            key = np.concatenate([line[at[own] - 1], size + line[at[own] + 1]])
+            mixture = mixed(hs ^ (key.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+            yield from map(row, near.add(mixture, np.ones(len(hs), np.int64), hs, key))
+            if not learned:
+                code = (line[:-1] * size + line[1:])[train[text]]
+                total += np.bincount(code, minlength=size * size)
+                rest = np.flatnonzero(open_)
+                order = rest[np.lexsort((block.hashes[rest], block.doc[rest]))]
+                d, hs = block.doc[order], block.hashes[order]
+                first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (hs[1:] != hs[:-1])])) if len(order) else order
+                yield rows(len(first), id=ids[d[first]], h=hs[first].view(np.int64))
+        yield from map(row, near.rest())
+        code = np.flatnonzero(total)
+        yield rows(len(code), key=code.astype(np.int32), n=total[code])
+
+    return gather
+
+
+def context_weights(m: np.ndarray) -> np.ndarray:
+    """For each key of a neighbour (class before, then class after) the gain of each word class from one such place."""
+    size = len(m)
+    smooth = m + 0.5
+    before = np.log(smooth / smooth.sum(0, keepdims=True))[:, : size - 2]
+    after = np.log(smooth / smooth.sum(1, keepdims=True))[: size - 2].T
+    return np.round(np.concatenate([before, after]) * STEPS)
+
+
+def _assign(weights):
+    def assign(batches):
+        own = weights.value
+        for batch in batches:
+            near = batch.column("near")
+            row = np.repeat(np.arange(len(near)), near.value_lengths().to_numpy())
+            key, n = (near.flatten().field(i).to_numpy().astype(np.int64) for i in (0, 1))
+            found = np.bincount(row * len(own) + key, n, len(near) * len(own)).reshape(len(near), len(own))
+            times = found[:, : len(own) // 2].sum(1).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(times), pa.array(np.argmax(found @ own, 1).astype(np.int32))], ["h", "n", "class"])
+
+    return assign
+
+
+def assigned(near: DataFrame, m: np.ndarray) -> DataFrame:
+    """(h, n, class): each word's count and the class whose neighbours are most like its own; near: (h, key, n)."""
+    weights = near.sparkSession.sparkContext.broadcast(context_weights(m))
+    lists = near.groupBy("h").agg(F.collect_list(F.struct("key", "n")).alias("near"))
+    return lists.mapInArrow(_assign(weights), "h long, n long, class int")
 
 
 class Model:
-    """Classes, transition log10 probabilities, and for each class the denominator of its emissions."""
+    """Transition log10 probabilities, for each class the denominator of its emissions, and the class of unseen words."""
+
+    def __init__(self, m: np.ndarray, kinds: np.ndarray, unseen: int, total: int, distinct: int):
+        self.transition = np.log10((m + 0.5) / (m.sum(1, keepdims=True) + 0.5 * len(m)))
+        self.emission = m.sum(0) + 0.5 * (kinds + 1)
+        self.unseen, self.total, self.distinct = unseen, total, distinct
+
+
+def _known(words: Vocabulary, batch, a: int, b: int, block, unseen: int) -> tuple[np.ndarray, np.ndarray]:
+    """The count and the class of each token; words that are not broadcast stand in the batch's lists."""
+    count, kind = words.look(block)
+    rest = np.flatnonzero(count < 0)
+    count[rest], kind[rest] = 0, unseen
+    entries = batch.column("words").slice(a, b - a).flatten()
+    if len(entries) and len(rest):
+        hs, n, c = (entries.field(i).to_numpy() for i in range(3))
+        hs, first = np.unique(hs.view(np.uint64), return_index=True)
+        k = np.minimum(np.searchsorted(hs, block.hashes[rest]), len(hs) - 1)
+        same = hs[k] == block.hashes[rest]
+        count[rest[same]], kind[rest[same]] = n[first[k[same]]], c[first[k[same]]]
+    return count, kind
+
+
+def _transitions(vocabulary):
+    def gather(batches):
+        words = vocabulary.value
+        size = words.end + 1
+        total = np.zeros(size * size, np.int64)
+        for batch, a, b, block in _blocks(batches):
+            line, _, _ = sequences(block, _known(words, batch, a, b, block, 0)[1], b - a, words.end)
+            total += np.bincount(line[:-1] * size + line[1:], minlength=size * size)
+        code = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(total[code])], ["code", "n"])
 
-    def __init__(self, pairs: np.ndarray, kinds: np.ndarray, total: int, distinct: int):
-        self.of = exchange(pairs)
-        onto = np.eye(CLASSES)[self.of]
-        m = onto.T @ pairs @ onto
-        self.transition = np.log10((m + 0.5) / (m.sum(1, keepdims=True) + 0.5 * CLASSES))
-        tokens, words = m.sum(0), onto.T @ kinds
-        self.emission = tokens + 0.5 * (words + 1)
-        self.total, self.distinct = total, distinct
+    return gather
 
 
 def _score(vocabulary, model, ends: int):
-    names = ["id", "h", "class", "n", "n_tokens", "n_known", "base", "score"]
+    names = ["id", "n_tokens", "n_known", "base_score", "score"]
 
     def score(batches):
         words, lm = vocabulary.value, model.value
         unit = lm.total + 0.5 * (lm.distinct + 1)
-        for batch in batches:
-            ids, texts = batch.column("id").to_numpy(), bytes_of(batch.column("text"))
-            for a, b in blocks_of(texts):
-                block = token_block(texts[a:b])
-                count, items = words.look(block)
-                line, text = sequences(block, items, b - a)
-                classes = lm.of[line]
-                score = np.bincount(text, lm.transition[classes[:-1], classes[1:]], b - a)
-                own = count >= 0
-                doc, c, k = block.doc[own], count[own], lm.of[items[own]]
-                score += np.bincount(doc, np.log10((c + 0.5) / lm.emission[k]), b - a)
-                base = np.bincount(doc, np.log10((c + 0.5) / unit), b - a)
-                known = np.bincount(doc, minlength=b - a) + (ends > 0)
-                score += np.log10((ends + 0.5) / lm.emission[lm.of[END_ITEM]])
-                base += np.log10((ends + 0.5) / unit)
-                n_tokens = np.bincount(block.doc, minlength=b - a) + 1
-                none = pa.nulls(b - a, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b]), none, none.cast(pa.int32()), none, pa.array(n_tokens), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)], names)
-                rest = np.flatnonzero(~own)
-                if len(rest):
-                    order = rest[np.lexsort((block.hashes[rest], block.doc[rest]))]
-                    d, hs = block.doc[order], block.hashes[order]
-                    first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (hs[1:] != hs[:-1])]))
-                    n = np.diff(np.append(first, len(order)))
-                    own_class = lm.of[items[order][first]].astype(np.int32)
-                    empty = pa.nulls(len(first), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][d[first]]), pa.array(hs[first].view(np.int64)), pa.array(own_class), pa.array(n), empty, empty, empty.cast(pa.float64()), empty.cast(pa.float64())], names)
+        for batch, a, b, block in _blocks(batches):
+            count, kind = _known(words, batch, a, b, block, lm.unseen)
+            line, text, _ = sequences(block, kind, b - a, words.end)
+            score = np.bincount(text, lm.transition[line[:-1], line[1:]], b - a)
+            score += np.bincount(block.doc, np.log10((count + 0.5) / lm.emission[kind]), b - a)
+            score += np.log10((ends + 0.5) / lm.emission[words.end])
+            base = np.bincount(block.doc, np.log10((count + 0.5) / unit), b - a) + np.log10((ends + 0.5) / unit)
+            known = np.bincount(block.doc[count > 0], minlength=b - a) + (ends > 0)
+            n_tokens = np.bincount(block.doc, minlength=b - a) + 1
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(n_tokens), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)], names)
 
     return score
 
 
+def _square(rows: pa.Table, size: int, code: str) -> np.ndarray:
+    out = np.zeros(size * size)
+    out[rows.column(code).to_numpy()] = rows.column("n").to_numpy()
+    return out.reshape(size, size)
+
+
 def most_frequent(counts: DataFrame, limit: int) -> pa.Table:
-    """(h, n, ending) of the words above the least power of 2**(1/16) that at most limit words reach.
+    """(h, n) of the words above the least power of 2**(1/16) that at most limit words reach.
 
     Counted by power first: one row for each, and no sort of the words.
     """
@@ -228,53 +348,55 @@ def held_out(share: int):
     return F.crc32(F.when(F.col("id") == NULL_ID, F.lit("")).otherwise(F.col("id").cast("string"))) % share == 1
 
 
-def score_documents(docs: DataFrame, share: int = 5) -> DataFrame:
+def score_documents(docs: DataFrame, share: int = 5, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each whole text.
 
     Tokens are runs between ASCII blanks, lower-cased in A-Z, and one end. The model learns from documents that are
-    not held out. Every word belongs to a class: the OWN_ITEMS most frequent words are exchanged one by one, the others
-    in groups of words with like endings. score: sum over tokens of log10 P(class | class before) + log10 P(token |
-    class), both with half a count added, with one unseen word in each class. Null texts are empty: one end. A null doc_id is the
-    text '' for the split; rows that share a doc_id count as one document, the one of least text. Extra columns are
-    not read. An empty table gives no rows; without training documents every probability is the smoothed one.
-
-    All words of the training documents are counted; tasks add up before the shuffle. The broadcast tables and what
-    the driver clusters have fixed sizes; counts of rarer words are joined by shuffle with each document's rare words.
+    not held out. Every word belongs to a class: the own_words() most frequent words are exchanged one by one, until
+    none moves; each other word goes to the class whose neighbours are most like its own. First the words that are
+    broadcast do so, beside the exchanged words; then the rest, beside all of these. A word that training has not
+    seen is of the class with most words seen once. score: sum over tokens of log10 P(class | class before) +
+    log10 P(token | class), both with half a count added, with one unseen word in each class. Null texts are empty:
+    one end. A null doc_id is the text '' for the split; rows that share a doc_id count as one document, the one of
+    least text. Extra columns are not read. An empty table gives no rows; without training documents every probability
+    is the smoothed one.
+
+    All words of the training documents are counted; tasks add up before the shuffle. The driver clusters a number of
+    words that grows with the root of the vocabulary. Neighbours are counted by shuffle; counts and classes of words
+    that are not broadcast are joined by shuffle with each document's words and then, by id, with its text.
     """
     spark = docs.sparkSession
-    base = id_and_text(docs)
-    train = base.filter(~held_out(share))
-    tasks = train.mapInArrow(_count, "h long, n long, ending int")
-    counts = written(tasks.groupBy("h").agg(F.sum("n").alias("n"), F.max("ending").alias("ending")), "word-counts")
+    shared = spark.sparkContext.broadcast
+    base = id_and_text(docs).withColumn("train", ~held_out(share))
+    train = base.filter("train")
+    counts = written(train.mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "word-counts")
     ends = train.count()
     whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = whole["n"] + ends, whole["v"] + (ends > 0)
-    top = most_frequent(counts, BROADCAST_WORDS).sort_by([("n", "descending"), ("h", "ascending")])
-    hashes, own = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    vocabulary = spark.sparkContext.broadcast(Vocabulary(hashes, own))
-    gathered = train.mapInArrow(_pairs(vocabulary), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    pairs = np.zeros(ITEMS * ITEMS)
-    pairs[gathered.column("code").to_numpy()] = gathered.column("n").to_numpy()
-    kinds = np.zeros(ITEMS)
-    for r in counts.groupBy("ending").count().collect():
-        kinds[OWN_ITEMS + 1 + r["ending"]] = r["count"]
-    np.subtract.at(kinds, OWN_ITEMS + 1 + top.column("ending").to_numpy()[:OWN_ITEMS], 1)
-    kinds[: min(OWN_ITEMS, len(own))] = 1
-    kinds[END_ITEM] = ends > 0
-    model = Model(pairs.reshape(ITEMS, ITEMS), kinds, total, distinct)
-    scored = written(base.mapInArrow(_score(vocabulary, spark.sparkContext.broadcast(model), ends), "id long, h long, class int, n long, n_tokens long, n_known long, base double, score double"), "scored-words")
-
-    rare = scored.filter("h is not null").select("id", "h", "class", F.col("n").alias("times"))
-    found = F.coalesce(F.col("n"), F.lit(0))
-    unit = float(total + 0.5 * (distinct + 1))
-    emission = F.get(F.array(*[F.lit(float(x)) for x in model.emission]), F.col("class"))
-    parts = rare.join(counts.select("h", "n"), "h", "left").select(
-        "id",
-        F.lit(None).cast("long").alias("n_tokens"),
-        F.when(found > 0, F.col("times")).otherwise(0).alias("n_known"),
-        (F.col("times") * F.log10((found + 0.5) / unit)).alias("base"),
-        (F.col("times") * F.log10((found + 0.5) / emission)).alias("score"),
-    )
-    rows = scored.filter("h is null").select("id", "n_tokens", "n_known", "base", "score").unionByName(parts)
-    out = rows.groupBy("id").agg(F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
+    top = most_frequent(counts, broadcast_words).sort_by([("n", "descending"), ("h", "ascending")])
+    classes, own = word_classes(whole["v"]), min(own_words(whole["v"]), len(top))
+    words = Vocabulary(top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy(), own)
+    pairs = train.mapInArrow(_pairs(shared(words)), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    of, m = exchange(pairs.column("code").to_numpy(), pairs.column("n").to_numpy(), own + 2, classes)
+
+    words = words.classed(of)
+    near = "id long, h long, key int, n long"
+    found = assigned(train.mapInArrow(_neighbours(shared(words), True), near).filter("h is not null").select("h", "key", "n"), m).toArrow()
+    words.number[np.searchsorted(words.hashes, found.column("h").to_numpy().view(np.uint64))] = found.column("class").to_numpy()
+    vocabulary = shared(words)
+    rows = written(base.mapInArrow(_neighbours(vocabulary, False), near), "neighbours")
+    beside = rows.filter("h is null").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    rare = written(assigned(rows.filter("id is null and h is not null").select("h", "key", "n"), _square(beside, classes + 2, "key")), "rare-words")
+
+    kinds, once = np.bincount(words.number, minlength=classes + 1), np.bincount(words.number[words.counts == 1], minlength=classes + 1)
+    for r in rare.groupBy("class").agg(F.count("*").alias("kinds"), F.count(F.when(F.col("n") == 1, 1)).alias("once")).collect():
+        kinds[r["class"]] += r["kinds"]
+        once[r["class"]] += r["once"]
+    kinds[classes] = ends > 0
+    lists = rows.filter("id is not null").select("id", "h").join(rare, "h").groupBy("id").agg(F.collect_list(F.struct("h", "n", "class")).alias("words"))
+    joined = base.join(lists, "id", "left").withColumn("words", F.coalesce("words", F.array().cast("array<struct<h:long,n:long,class:int>>")))
+    classed = written(joined, "classed-texts")
+    steps = classed.filter("train").mapInArrow(_transitions(vocabulary), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    model = Model(_square(steps, classes + 1, "code"), kinds, int(np.argmax(once[:classes])), total, distinct)
+    out = classed.mapInArrow(_score(vocabulary, shared(model), ends), "id long, n_tokens long, n_known long, base_score double, score double")
     return out.select(public_id().alias("doc_id"), held_out(share).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
