@@ -25,23 +25,27 @@ CLOSES_P = BLOCKS - frozenset("body html caption dd dt legend li optgroup option
 SAME = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tbody", "thead", "tr", "td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu", "dir"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}, "option": {"select"}}
 #: What is never part of an article.
-DROPPED = frozenset("head script style noscript template nav footer aside form button select textarea iframe svg math canvas object embed video audio map dialog menu noembed noframes xmp title input label".split())
-HINT = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|signup|"
-    r"sidebar|side|rail|widget|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|pagination|pager|toolbar|masthead|topbar|footer|site-header|page-header|share|sharing|social|related|recommended|"
-    r"comment|comments|commentlist|respond|replies|disqus|login|search|skip|copyright|legal|disclaimer|tags|tagcloud)(?:$|[\s_-])",
-    re.I,
+DROPPED = frozenset("head script style noscript template nav footer aside button select textarea iframe svg math canvas object embed video audio map dialog menu noembed noframes xmp title input label".split())
+#: Words of class and id that speak of something around an article; a name counts if all its words are these or NEUTRAL.
+HINTS = frozenset(
+    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup "
+    "sidebar side rail widget nav navbar navigation menu breadcrumb breadcrumbs pagination pager toolbar masthead topbar footer share sharing social related recommended "
+    "comment comments commentlist respond replies disqus login search skip copyright disclaimer tags tagcloud".split()
 )
+NEUTRAL = frozenset("site page top bottom left right bar box block list item items link links wrapper wrap container inner outer section area header main primary secondary form text content post posts articles buttons icons slot unit".split())
+_WORDS = re.compile(r"[\s_-]+")
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar alertdialog".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose class, id and role say nothing of their text.
+KEPT = HEADINGS | {"html", "body", "article", "main", "p"}
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("name", "parent", "items", "skip", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("name", "parent", "items", "skip", "chars", "tags", "link_chars", "link_tags", "density", "total", "hinted")
 
     def __init__(self, name: str, parent: Node | None, skip: bool = False):
-        self.name, self.parent, self.skip = name, parent, skip
+        self.name, self.parent, self.skip, self.hinted = name, parent, skip, False
         self.items: list = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
@@ -58,16 +62,34 @@ def _unwanted(name: str, attrs: str, parent: Node) -> bool:
         return True
     if len(attrs) > 1 and name not in ("html", "body", "article", "main"):
         for key, a, b, c in _ATTR.findall(attrs):
-            key, value = key.lower(), a or b or c
-            if key in ("class", "id") and HINT.search(value):
-                return True
-            if key == "role" and value.strip().lower() in ROLES or key == "hidden":
-                return True
-            if key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
+            key, value = key.lower(), (a or b or c).lower()
+            if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
                 return True
     return False
 
 
+def _speaks(value: str) -> bool:
+    """Whether one of the names has a hint and nothing but hints, neutral words and numbers: not has-sidebar, related-work."""
+    for name in value.lower().split():
+        words = [w for w in _WORDS.split(name) if w and not w.isdigit()]
+        if any(w in HINTS for w in words) and all(w in HINTS or w in NEUTRAL for w in words):
+            return True
+    return "site-header" in value.lower().split() or "page-header" in value.lower().split()
+
+
+def _hinted(name: str, attrs: str) -> bool:
+    """Whether name, class, id or role make it likely that the element is not part of an article."""
+    if name in KEPT:
+        return False
+    if name == "form":
+        return True
+    for key, a, b, c in _ATTR.findall(attrs) if len(attrs) > 1 else ():
+        key, value = key.lower(), a or b or c
+        if key in ("class", "id") and _speaks(value) or key == "role" and value.strip().lower() in ROLES:
+            return True
+    return False
+
+
 def parse(page: str) -> Node:
     """The page's element tree; end tags that the page leaves out are supplied as browsers do for common elements."""
     root = Node("#root", None)
@@ -110,6 +132,7 @@ def parse(page: str) -> Node:
                 node = found.parent
         if name == "html" and node is root or name not in ("html",):
             new = Node(name, node, _unwanted(name, attrs, node))
+            new.hinted = _hinted(name, attrs)
             node.items.append(new)
             if name in RAW:
                 low = page.lower() if low is None and len(page.lower()) == end else low
@@ -122,6 +145,27 @@ def parse(page: str) -> Node:
     return root
 
 
+def _weigh_hints(root: Node) -> None:
+    """Hinted elements are skipped, but for those that hold an article or main or, in a page that has neither, most
+    of the text outside links."""
+    order: list[Node] = []
+    stack = [root]
+    while stack:
+        n = stack.pop()
+        order.append(n)
+        stack.extend(x for x in n.items if not isinstance(x, str) and not x.skip)
+    if not any(n.hinted for n in order):
+        return
+    holds: dict[int, bool] = {}
+    for n in reversed(order):
+        inner = [x for x in n.items if not isinstance(x, str) and not x.skip]
+        own = sum(len(x) - x.count(" ") for x in n.items if isinstance(x, str) and not x.isspace())
+        n.chars = 0 if n.name == "a" else own + sum(x.chars for x in inner)
+        holds[id(n)] = n.name in ("article", "main") or any(holds[id(x)] for x in inner)
+    for n in order:
+        n.skip = n.hinted and not (holds[id(n)] or not holds[id(root)] and 2 * n.chars > root.chars)
+
+
 def _measured(root: Node) -> list[Node]:
     """The wanted elements in page order, with counts of their subtrees; text is decoded in place."""
     order: list[Node] = []
@@ -231,6 +275,7 @@ def text_of(parts: list[Node]) -> str:
 def main_text(page: str) -> str:
     """The article's blocks of text, one a line; empty if the page has none."""
     root = parse(page)
+    _weigh_hints(root)
     order = _measured(root)
     return text_of(_chosen(root, order))
 
