@@ -71,5 +71,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: A trained network, a tokenizer and likeness over shingles are not SQL; tests hold the stages against plain Python.
+#: A trained network, a tokenizer and likeness over shingles are not SQL. No test covers run() or the stages as yet.
 ORACLE_SQL = None
