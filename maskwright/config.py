@@ -101,7 +101,9 @@ class Engine:
             raise InvalidConfig("keywords must be non-empty, at most 3000, and 64 KiB together")
         if any(len(w.encode()) > self.max_input_bytes for w in words):
             raise InvalidConfig("a keyword is longer than an input may be")
-        return replace(self, keywords=tuple(dict.fromkeys(words)))
+        if len(set(words)) < len(words):
+            raise InvalidConfig("a keyword is given twice")
+        return replace(self, keywords=words)
 
     def with_regions(self, *regions: str) -> Engine:
         if any(r not in (CN, US) for r in regions):
@@ -154,4 +156,6 @@ class Engine:
         for _, r in out:
             if isinstance(r, Rule) and r.entity not in self.entities:
                 raise UnknownEntityType(r.entity)
+            if isinstance(r, Rule) and not 0.0 <= r.score <= 1.0:
+                raise InvalidFinding(f"{r.name}: score {r.score}")
         return out

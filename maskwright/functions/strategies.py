@@ -28,7 +28,10 @@ def replacement(engine, entity: Column, text: Column, seq: Column) -> Column:
     """By each entity's strategy; a strategy is a name above or a function of the three columns."""
     out = numbered(entity, text, seq)
     for name, strategy in engine.strategies.items():
-        out = F.when(entity == name, (NAMED[strategy] if isinstance(strategy, str) else strategy)(entity, text, seq)).otherwise(out)
+        made = (NAMED[strategy] if isinstance(strategy, str) else strategy)(entity, text, seq)
+        if not isinstance(strategy, str):
+            made = F.when(F.call_function("is_valid_utf8", made), made).otherwise(F.raise_error(F.lit(f"InvalidUTF8: strategy of {name}")).cast("string"))
+        out = F.when(entity == name, made).otherwise(out)
     return out
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.config import MAX_CANDIDATES, SECRETS, Engine, Rule
+from maskwright.config import MAX_CANDIDATES, SECRETS, Engine, RegexError, Rule
 from maskwright.functions.strategies import replacement
+from maskwright.functions.validators import score_ok
 
 CANDIDATE = "struct<entity:string,start:int,end:int,score:double,text:string,cstart:int,cend:int,rec_idx:int,ord:int>"
 CANDIDATES = f"array<{CANDIDATE}>"
@@ -17,6 +18,25 @@ def _none(kind: str) -> Column:
     return F.array().cast(kind)
 
 
+def packed(df: DataFrame, **own: Column) -> DataFrame:
+    """The rows as one column __row beside the named ones, so that no column of theirs clashes with ours."""
+    return df.select(F.struct(*[df[c] for c in df.columns]).alias("__row"), *[c.alias(k) for k, c in own.items()])
+
+
+def unpacked(df: DataFrame, columns: list[str], **added: Column) -> DataFrame:
+    """The packed columns and the added ones, which take the place of columns of the same name."""
+    kept = [F.col("__row")[c].alias(c) for c in columns if c not in added]
+    return df.select(*kept, *[c.alias(k) for k, c in added.items()])
+
+
+def compiled(df: DataFrame, rule: Rule) -> None:
+    """Raises RegexError on the driver for a pattern that the executors could not compile."""
+    try:
+        df.sparkSession._jvm.java.util.regex.Pattern.compile(rule.pattern)
+    except Exception as e:
+        raise RegexError(f"{rule.name}: {str(e).splitlines()[-1]}") from None
+
+
 def _located(gaps: Column, whole: Column, own: Column, rule: Rule, index: int, order: int) -> Column:
     """Candidates of one rule from its matches and the texts between them, in bytes and in code points."""
     start = F.struct(F.lit(0).alias("b"), F.lit(0).alias("c"), _none(CANDIDATES).alias("out"))
@@ -54,6 +74,7 @@ def with_candidates(df: DataFrame, text: str, engine: Engine) -> DataFrame:
     for order, (index, rule) in enumerate(engine.plan()):
         name = f"__r{order}"
         if isinstance(rule, Rule):
+            compiled(df, rule)
             likely = F.lit(True) if rule.likely is None else rule.likely(F.col(text))
             hits = lambda g, rule=rule: F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(g))
             out = out.withColumn(f"{name}_m", F.when(likely, hits(0)).otherwise(_none("array<string>")))
@@ -65,7 +86,7 @@ def with_candidates(df: DataFrame, text: str, engine: Engine) -> DataFrame:
                 own = F.col(f"{name}_o")
             raw.append(F.size(f"{name}_m"))
             empty = F.exists(f"{name}_m", lambda m: m == "")
-            out = out.withColumn(name, F.when(empty, F.raise_error(F.lit(f"{rule.name}: empty match")).cast(CANDIDATES)).when(raw[-1] > MAX_CANDIDATES, _none(CANDIDATES)).otherwise(_located(F.col(f"{name}_g"), F.col(f"{name}_m"), own, rule, index, order)))
+            out = out.withColumn(name, F.when(empty, F.raise_error(F.lit(f"InvalidFinding: {rule.name}: empty match")).cast(CANDIDATES)).when(raw[-1] > MAX_CANDIDATES, _none(CANDIDATES)).otherwise(_located(F.col(f"{name}_g"), F.col(f"{name}_m"), own, rule, index, order)))
         else:
             given = F.coalesce(rule.find(F.col(text)), _none("array<struct<entity:string,start:int,end:int,score:double,text:string>>"))
             out = out.withColumn(f"{name}_m", given)
@@ -87,10 +108,12 @@ def _checked(text: Column, index: int, order: int, engine: Engine):
         head = F.encode(text, "UTF-8")
         piece = F.decode(F.substring(head, f["start"] + 1, f["end"] - f["start"]), "UTF-8")
         before = F.decode(F.substring(head, F.lit(1), f["start"]), "UTF-8")
-        fits = (f["start"] >= 0) & (f["end"] > f["start"]) & (f["end"] <= F.octet_length(text)) & (piece == f["text"]) & f["score"].between(0.0, 1.0) & f["entity"].isin(list(engine.entities))
+        fits = (f["start"] >= 0) & (f["end"] > f["start"]) & (f["end"] <= F.octet_length(text)) & (piece == f["text"]) & score_ok(f["score"])
+        known = f["entity"].isin(list(engine.entities))
         cstart = F.char_length(before)
         own = F.struct(f["entity"], f["start"], f["end"], f["score"], f["text"], cstart.alias("cstart"), (cstart + F.char_length(f["text"])).alias("cend"), F.lit(index).alias("rec_idx"), (F.lit(order * 10_000) + i).alias("ord")).cast(CANDIDATE)
-        return F.when(F.coalesce(fits, F.lit(False)), own).otherwise(F.raise_error(F.lit("invalid finding")).cast(CANDIDATE))
+        wrong = lambda why: F.raise_error(F.concat(F.lit(f"{why}: "), F.coalesce(f["entity"], F.lit("null")))).cast(CANDIDATE)
+        return F.when(~F.coalesce(known, F.lit(False)), wrong("UnknownEntityType")).when(F.coalesce(fits, F.lit(False)), own).otherwise(wrong("InvalidFinding"))
 
     return check
 
@@ -134,22 +157,26 @@ def spliced(text: Column, findings: Column, replacements: Column) -> Column:
 
 
 def mask(df: DataFrame, engine: Engine | None = None, text: str = "text") -> DataFrame:
-    """Adds masked, events and error: each row by itself, numbers from 1 in each row, nothing remembered."""
+    """Adds masked, events and error: each row by itself, numbers from 1 in each row, nothing remembered.
+
+    Columns of these names that the table has are replaced; all others stay as they are.
+    """
     engine = engine or Engine()
-    found = with_findings(df, text, engine, "__findings")
+    found = with_findings(packed(df, __t=F.col(text)), "__t", engine, "__findings")
     fs = F.col("__findings")
     seq = F.transform(fs, lambda f, i: F.size(F.filter(fs, lambda g, j: (j <= i) & (g["entity"] == f["entity"]))))
     numbered = found.withColumn("__seq", seq)
     reps = F.transform(F.arrays_zip(fs.alias("f"), F.col("__seq").alias("n")), lambda x: replacement(engine, x["f"]["entity"], x["f"]["text"], x["n"]))
-    replaced = numbered.withColumn("__reps", reps).withColumn("__masked", spliced(F.col(text), fs, F.col("__reps")))
+    replaced = numbered.withColumn("__reps", reps).withColumn("__masked", spliced(F.col("__t"), fs, F.col("__reps")))
     error = F.coalesce("error", F.when(F.octet_length("__masked") > engine.max_output_bytes, "LimitExceeded"))
     events = F.transform(F.filter(F.arrays_zip(fs.alias("f"), F.col("__reps").alias("r")), lambda x: x["f"]["text"] != x["r"]), lambda x: F.struct(x["f"]["entity"], x["f"]["start"], x["f"]["end"], x["f"]["score"], x["r"].alias("replacement")))
     done = replaced.withColumn("__error", error)
-    return done.select(*df.columns, F.when(F.col("__error").isNull(), F.col("__masked")).alias("masked"), F.when(F.col("__error").isNull(), events).otherwise(_none(EVENTS)).cast(EVENTS).alias("events"), F.col("__error").alias("error"))
+    good = F.col("__error").isNull()
+    return unpacked(done, df.columns, masked=F.when(good, F.col("__masked")), events=F.when(good, events).otherwise(_none(EVENTS)).cast(EVENTS), error=F.col("__error"))
 
 
 def findings(df: DataFrame, engine: Engine | None = None, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each resolved finding: the kept columns, entity, start, end (bytes), score and text."""
-    found = with_findings(df, text, engine or Engine(), "__findings")
-    each = found.select(*keep, F.explode("__findings").alias("__f"))
-    return each.select(*keep, *[F.col(f"__f.{c}").alias("match" if c == "text" else c) for c in ("entity", "start", "end", "score", "text")])
+    found = with_findings(packed(df, __t=F.col(text)), "__t", engine or Engine(), "__findings")
+    each = found.select("__row", F.explode("__findings").alias("__f"))
+    return unpacked(each, list(keep), **{"match" if c == "text" else c: F.col(f"__f.{c}") for c in ("entity", "start", "end", "score", "text")})

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from maskwright.config import Engine
+from maskwright.config import Engine, InvalidRequest
 from maskwright.functions.strategies import replacement, reversible
-from maskwright.operators.mask import CANDIDATES, EVENTS, spliced, with_findings
+from maskwright.operators.mask import CANDIDATES, EVENTS, packed, spliced, unpacked, with_findings
 from maskwright.sources.shared import shared_table
 
 
@@ -50,7 +50,8 @@ def _replay(engine: Engine):
 
 
 def anonymize(df: DataFrame, session: str, order: str, text: str = "text", engine: Engine | None = None) -> DataFrame:
-    """Adds masked, events and error. Rows are calls; (session, order) must be unique and not null.
+    """Adds masked, events and error, in place of columns of these names. Rows are calls; null is a session too, and an
+    order that comes first. A repeated (session, order) raises InvalidRequest.
 
     A reversible plaintext takes the next number of its entity at its first place in the session, by call and place;
     every other finding takes a number of its own. Numbers come from windows over the findings alone, without the
@@ -58,9 +59,12 @@ def anonymize(df: DataFrame, session: str, order: str, text: str = "text", engin
     back; their size is bounded by those limits for all but refused calls.
     """
     engine = engine or Engine()
-    marks = with_findings(df.select(session, order, text), text, engine, "__f")
-    marks = shared_table(marks.select(F.col(session).alias("__s"), F.col(order).alias("__o"), F.octet_length(text).alias("bytes"), "__f", F.col("error").alias("__early")), "findings")
+    calls = df.select(F.col(session).alias("__s"), F.col(order).alias("__o"), F.col(text).alias("__t"))
+    marks = with_findings(calls, "__t", engine, "__f")
+    marks = shared_table(marks.select("__s", "__o", F.octet_length("__t").alias("bytes"), "__f", F.col("error").alias("__early")), "findings")
     keys = ["__s", "__o"]
+    if not marks.groupBy(*keys).count().filter("count > 1").isEmpty():
+        raise InvalidRequest(f"{session} and {order} do not name a call")
     flat = marks.filter(F.col("__early").isNull()).select(*keys, "bytes", F.explode("__f").alias("x"))
     flat = flat.select(*keys, "bytes", "x.entity", "x.start", "x.end", F.col("x.text").alias("match")).withColumn("rev", reversible(engine, F.col("entity")))
     place = F.struct("__o", "start")
@@ -88,15 +92,18 @@ def anonymize(df: DataFrame, session: str, order: str, text: str = "text", engin
     none = F.lit(None).cast("string").alias("error")
     slow = totals.filter("over").select(*keys, "f", "bytes", none).groupBy("__s").applyInPandas(_replay(engine), schema)
     known = totals.filter("not over").select(*keys, "numbers", none).unionByName(slow).withColumnsRenamed({"error": "__late", "numbers": "__numbers"})
-    told = shared_table(marks.drop("bytes").join(known, keys, "left"), "numbers").withColumnsRenamed({"__s": session, "__o": order})
-    joined = df.join(told, [session, order], "left")
+    known = known.withColumnsRenamed({"__s": "__ks", "__o": "__ko"})
+    met = marks.drop("bytes").join(known, F.col("__s").eqNullSafe(F.col("__ks")) & F.col("__o").eqNullSafe(F.col("__ko")), "left")
+    told = shared_table(met.drop("__ks", "__ko"), "numbers")
+    rows = packed(df, __js=F.col(session), __jo=F.col(order), __t=F.col(text))
+    joined = rows.join(told, F.col("__js").eqNullSafe(F.col("__s")) & F.col("__jo").eqNullSafe(F.col("__o")), "left")
     fs = F.when(F.col("__late").isNull() & F.col("__early").isNull(), F.col("__f")).otherwise(F.array().cast(CANDIDATES))
     ready = joined.withColumn("__fs", fs).withColumn("__error", F.coalesce("__early", "__late"))
     reps = F.transform(F.arrays_zip(F.col("__fs").alias("f"), F.col("__numbers").alias("n")), lambda x: replacement(engine, x["f"]["entity"], x["f"]["text"], x["n"]["seq"]))
     ready = ready.withColumn("__reps", F.when(F.size("__fs") > 0, reps).otherwise(F.array().cast("array<string>")))
     events = F.transform(F.filter(F.arrays_zip(F.col("__fs").alias("f"), F.col("__reps").alias("r")), lambda x: x["f"]["text"] != x["r"]), lambda x: F.struct(x["f"]["entity"], x["f"]["start"], x["f"]["end"], x["f"]["score"], x["r"].alias("replacement")))
-    masked = F.when(F.col("__error").isNull(), spliced(F.col(text), F.col("__fs"), F.col("__reps")))
-    return ready.select(*df.columns, masked.alias("masked"), events.cast(EVENTS).alias("events"), F.col("__error").alias("error"))
+    masked = F.when(F.col("__error").isNull(), spliced(F.col("__t"), F.col("__fs"), F.col("__reps")))
+    return unpacked(ready, df.columns, masked=masked, events=events.cast(EVENTS), error=F.col("__error"))
 
 
 def mapping(df: DataFrame, anonymized: DataFrame, session: str, text: str = "text", engine: Engine | None = None) -> DataFrame:

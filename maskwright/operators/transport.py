@@ -164,8 +164,9 @@ def mask_requests(df: DataFrame, engine: Engine | None = None, passthrough: bool
     masked = F.col("__outcome") == "masked"
     new = F.encode("__out.text", "UTF-8")
     kept = F.when(F.col("__encoding") == "gzip", without("content-length", "transfer-encoding", "content-encoding")).otherwise(without("content-length", "transfer-encoding"))
+    added = ("outcome", "out_headers", "out_body", "mask_events", "error")
     out = told.select(
-        *df.columns,
+        *[c for c in df.columns if c not in added],
         F.col("__outcome").alias("outcome"),
         F.when(F.col("__outcome") != "failed", F.when(masked, _with_length(kept, new)).otherwise(F.col("headers"))).alias("out_headers"),
         F.when(F.col("__outcome") != "failed", F.when(masked, new).otherwise(F.col("body"))).alias("out_body"),
@@ -220,8 +221,9 @@ def restore_responses(df: DataFrame, known: DataFrame, engine: Engine | None = N
     told = told.withColumn("__outcome", F.when(F.col("__error").isNotNull(), "failed").when(F.col("__gate").isNotNull(), F.col("__gate")).when(F.col("__out.changed"), "restored").otherwise("same"))
     failed, restored = F.col("__outcome") == "failed", F.col("__outcome") == "restored"
     new = F.encode("__out.text", "UTF-8")
+    added = ("outcome", "out_headers", "out_body", "restore_events", "complete", "error")
     return told.select(
-        *df.columns,
+        *[c for c in df.columns if c not in added],
         F.col("__outcome").alias("outcome"),
         F.when(failed, without(*OF_THE_BODY)).when(restored, _with_length(without("content-length", "transfer-encoding", "etag"), new)).otherwise(F.col("headers")).alias("out_headers"),
         F.when(failed, None).when(restored, new).otherwise(F.col("body")).alias("out_body"),
