@@ -11,6 +11,7 @@ from maskwright.operators.mask import findings, mask
 from maskwright.operators.restore import restore
 from maskwright.operators.session import anonymize, mapping
 from maskwright.operators.transport import mask_requests, restore_responses
+from maskwright.plans import masking_sql as S
 from maskwright.sources.shared import shared_table
 from maskwright.streaming.event_stream import restore_event_chunks
 from maskwright.streaming.stream import restore_chunks
@@ -55,11 +56,6 @@ def _finder(source: str, rule: Rule):
     return find
 
 
-_LUHN = "list_sum(list_transform(range(1, length(v) + 1), lambda i: case when (length(v) - i) % 2 = 1 then (2 * cast(v[i] as int)) // 10 + (2 * cast(v[i] as int)) % 10 else cast(v[i] as int) end)) % 10 = 0"
-_SSN = "substring(v, 1, 3) not in ('000', '666') and v[1] <> '9' and substring(v, 5, 2) <> '00' and substring(v, 8, 4) <> '0000'"
-_IDCARD = "substring('10X98765432', cast(list_sum(list_transform(range(1, 18), lambda i: cast(v[i] as int) * ((2 ** (18 - i))::bigint % 11))) % 11 as int) + 1, 1) = upper(v[18])"
-
-
 def _finder_sql(source: str, rule: Rule, predicate: str = "true", pattern: str | None = None) -> str:
     p = (pattern or rule.pattern).replace("'", "''")
     digit = "not regexp_matches(before, '[0-9]') and not regexp_matches(after, '[0-9]')" if rule.boundary else "true"
@@ -77,15 +73,19 @@ _FINDERS = {
     "find_ip": ("documents", R.IP),
     "find_us_phone": ("documents", R.US_PHONE),
     "find_bankcard_luhn": ("documents", R.BANK_CARD),
-    "find_china_phone": ("documents", R.CHINA_PHONE),
+    "find_china_phone": ("cust_contact", R.CHINA_PHONE),
     "find_ssn": ("cust_ssn", R.US_SSN),
     "find_idcard": ("cust_idcard", R.CHINA_IDCARD),
     "find_landline": ("order_landline", R.CHINA_LANDLINE),
     "find_url": ("order_url", R.URL),
     "find_intl_phone": ("order_intl", R.INTL_PHONE),
 }
-_PREDICATES = {"find_bankcard_luhn": _LUHN, "find_ssn": _SSN, "find_idcard": _IDCARD}
-_PATTERNS = {"find_ip": rf"\b{R._SEG}(?:\.{R._SEG}){{3}}\b"}
+_PREDICATES = {"find_bankcard_luhn": S.LUHN, "find_ssn": S.SSN, "find_idcard": S.IDCARD}
+_PATTERNS = {"find_ip": S.PATTERNS["ip"]}
+
+
+_FEW = Engine().with_recognizers().with_keywords("License", "the MIT", "the MIT License")
+_MANY = Engine().with_recognizers().with_keywords(*[f"{w}{i}" for w in ("no such word ", "license ", "page ") for i in range(333)], "License", "the MIT", "the MIT License")
 
 
 def mask_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,8 +115,7 @@ def entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keywords_leftmost_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    engine = Engine().with_recognizers().with_keywords("License", "the MIT", "the MIT License")
-    return mask(_read(spark, sf_dir, "documents").select("doc_id", "text"), engine).select("doc_id", "masked")
+    return mask(_read(spark, sf_dir, "documents").select("doc_id", "text"), _FEW).select("doc_id", "masked")
 
 
 def resolve_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,9 +225,7 @@ def text_chunks_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keywords_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A thousand keywords, most of which the texts do not hold, found by one pattern tree."""
-    words = [f"{w}{i}" for w in ("no such word ", "license ", "page ") for i in range(333)] + ["License", "the MIT", "the MIT License"]
-    engine = Engine().with_recognizers().with_keywords(*words)
-    return mask(_read(spark, sf_dir, "documents").select("doc_id", "text"), engine).select("doc_id", "masked")
+    return mask(_read(spark, sf_dir, "documents").select("doc_id", "text"), _MANY).select("doc_id", "masked")
 
 
 _OTHERS = (json_requests_masked, json_requests_mapping, json_responses_restored, event_streams_restored, text_chunks_restored, keywords_many, mask_documents, mask_contacts, region_us_only, entropy_secrets, keywords_leftmost_longest, resolve_overlaps, entity_report, anonymize_sessions, anonymize_repeats, anonymize_documents, anonymize_conversations, mapping_table, restore_roundtrip, restore_unresolved)
@@ -240,7 +237,13 @@ _ENTROPY = "list_sum(list_transform(list_distinct(string_split(w, '')), lambda c
 _RN = "cast(row_number() over (partition by c_nationkey order by c_custkey) as varchar)"
 _IDS = f"select id, text[4:] as v from ({_texts_sql('cust_idcard')})"
 _USER = f"""concat('{{"model": "m", "user":"', {_MAIL}, '", "messages": [{{"role":"user", "content": "mail ')"""
+_DOCS = "select doc_id as id, text from documents"
 ORACLE_SQL = {
+    "mask_documents": S.mask(_DOCS, Engine(), "s.id as doc_id, coalesce(m.masked, s.text) as masked, coalesce(m.n, 0) as n_events, cast(null as varchar) as error"),
+    "keywords_leftmost_longest": S.mask(_DOCS, _FEW, "s.id as doc_id, coalesce(m.masked, s.text) as masked"),
+    "keywords_many": S.mask(_DOCS, _MANY, "s.id as doc_id, coalesce(m.masked, s.text) as masked"),
+    "anonymize_documents": S.anonymize("select doc_id as id, source as session, doc_id as call, text from documents", Engine(), "s.session as source, s.call as doc_id, coalesce(m.masked, s.text) as masked, coalesce(m.n, 0) as n_events, cast(null as varchar) as error"),
+    "anonymize_conversations": S.anonymize("select conv_id * 100000 + turn as id, conv_id as session, turn as call, role, text from conversations", Engine(), "s.session as conv_id, s.call as turn, s.role, coalesce(m.masked, s.text) as masked, cast(null as varchar) as error"),
     "json_requests_masked": f"""select c_custkey as request_id, case when c_custkey % 7 = 0 then 'bypass' else 'masked' end as outcome,
  case when c_custkey % 7 = 0 then concat({_USER}, {_MAIL}, '"}}, {{"content":[{{"type":"text","text":"tel \\u0031', substring({_TEL}, 2), ' or ', {_MAIL}, '"}}]}}]}}')
  else concat({_USER}, '[EMAIL_1]"}}, {{"content":[{{"type":"text","text":"tel [PHONE_1] or [EMAIL_1]"}}]}}]}}') end as body,
@@ -258,7 +261,7 @@ ORACLE_SQL = {
     "strategy_mask_middle": f"select c_custkey as id, concat('mail ', {_MIDDLE.format(_MAIL)}, ' tel ', {_MIDDLE.format(_TEL)}) as masked from customer",
     "strategy_hash": f"select c_custkey as id, concat('mail ', left(sha256({_MAIL}), 8), ' tel ', left(sha256({_TEL}), 8)) as masked from customer",
     "entropy_secrets": f"with t as (select c_custkey as id, substring(md5(c_name), 1, 10) as w from customer) select id, case when {_ENTROPY} >= 3.0 - 1e-9 then 'password=[SECRET_1]' else concat('password=', w) end as masked from t",
-    "resolve_overlaps": f"with t as ({_IDS}) select id, case when {_IDCARD} then 'IDCARD' else 'BANKCARD' end as entity, cast(3 as bigint) as start, cast(21 as bigint) as stop from t where {_IDCARD} or {_LUHN}",
+    "resolve_overlaps": f"with t as ({_IDS}) select id, case when {S.IDCARD} then 'IDCARD' else 'BANKCARD' end as entity, cast(3 as bigint) as start, cast(21 as bigint) as stop from t where {S.IDCARD} or {S.LUHN}",
     "entity_report": f"select lang, entity, count(*) as n, cast(sum(strlen(match)) as bigint) as bytes from ({_finder_sql('documents', R.EMAIL)}) f join documents d on d.doc_id = f.id group by lang, entity",
     "anonymize_sessions": f"select c_nationkey as session, c_custkey as call, concat('mail [EMAIL_', {_RN}, '] tel [PHONE_', {_RN}, ']') as masked from customer",
     "anonymize_repeats": "select o_custkey as session, o_orderkey as call, 'mail [EMAIL_1] tel [PHONE_1]' as masked from orders",
