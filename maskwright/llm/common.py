@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskwright.sources.shared import dropped, released, shared_table  # noqa: F401
+
 #: Words: runs of ASCII letters and digits and of everything outside ASCII, after A-Z is lower-cased.
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Stands for a null id inside an operator, so that null ids group, sort and join; it sorts first.
-NULL_ID = -(2**63)
+#: Inside an operator a row without an id has one of the NULL_IDS lowest numbers, chosen by its text, so that such rows
+#: are documents of their own that sort first; ids of data do not lie there.
+NULL_ID, NULL_IDS = -(2**63), 2**60
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,49 +29,48 @@ def words_of(c: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(c), F.lit(WORD_PATTERN), F.lit(0))
 
 
+def row_id(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """The number that a row has inside the operators: its id or, without one, a number by its text."""
+    by_text = F.lit(NULL_ID) + F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), 4)
+    return F.coalesce(F.col(id_col).cast("long"), by_text)
+
+
 def unique_rows(df: DataFrame, id_col: str = "doc_id", by: str = "text") -> DataFrame:
-    """One row for each id: of rows that share an id (null is an id too) the least by text, nulls first, stays.
+    """One row for each id, see row_id(): of rows that share one the least by text, nulls first, stays.
 
     The test for repeated ids reads ids alone; the texts are moved only if there are any.
     """
-    if df.groupBy(id_col).count().filter("count > 1").isEmpty():
+    own = F.col(id_col).cast("long")
+    if df.groupBy(own.alias("id")).count().filter("count > 1").isEmpty():
         return df
     rest = [c for c in df.columns if c not in (id_col, by)]
     sortable = F.struct(F.col(by), F.to_json(F.struct(*rest)).alias("__rest")) if rest else F.struct(F.col(by))
     whole = F.struct(*[F.col(c) for c in df.columns])
-    return df.groupBy(F.col(id_col).alias("__id")).agg(F.min_by(whole, sortable).alias("__row")).select("__row.*")
+    return df.groupBy(row_id(id_col, by).alias("__id")).agg(F.min_by(whole, sortable).alias("__row")).select("__row.*")
 
 
 def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text) with unique non-null ids and non-null texts; other columns, whatever their names, are left behind."""
     pairs = unique_rows(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
-    return pairs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    return pairs.select(row_id().alias("id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def public_id(c: str = "id") -> Column:
-    return F.nullif(F.col(c), F.lit(NULL_ID))
+def without_id(c: str = "id") -> Column:
+    return F.col(c) < NULL_ID + NULL_IDS
 
 
-_own_folder: dict[str, str] = {}
+def public_id(c: str = "id") -> Column:
+    return F.when(~without_id(c), F.col(c))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see; one of our own only where the session names none, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = _own_folder.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="shared-")
-        _own_folder[spark.sparkContext.applicationId] = folder
-    return folder
+def held_out(share: int) -> Column:
+    """Whether crc32 of the id as text (without an id: of the empty text) leaves 1 when divided by share."""
+    return F.crc32(F.when(without_id(), F.lit("")).otherwise(F.col("id").cast("string"))) % share == 1
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read from a table in the shared folder: lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return shared_table(df, name)
 
 
 def even_parts(spark: SparkSession) -> int:
@@ -157,20 +156,27 @@ def token_block(texts: list[bytes]) -> Block:
     return Block(texts, _TOKEN_BYTE)
 
 
-def blocks_of(texts, limit: int = BLOCK_BYTES):
-    """Slices [a, b) of the texts with at most limit bytes each, or a single text."""
-    a, size = 0, 0
-    for b, t in enumerate(texts):
-        if size and size + len(t) > limit:
+def ranges_of(sizes, limit: int = BLOCK_BYTES):
+    """Ranges [a, b) of texts with at most limit bytes together, or of a single text."""
+    a, held = 0, 0
+    for b, n in enumerate(sizes):
+        if held and held + n > limit:
             yield a, b
-            a, size = b, 0
-        size += len(t)
-    if a < len(texts):
-        yield a, len(texts)
+            a, held = b, 0
+        held += n
+    if a < len(sizes):
+        yield a, len(sizes)
 
 
-def bytes_of(column) -> list[bytes]:
-    """The texts of an Arrow column as UTF-8; null is empty."""
+def text_blocks(batches, column: str = "text", limit: int = BLOCK_BYTES):
+    """(rows, their texts as UTF-8) for ranges of each batch; null is empty. Only one range at a time leaves Arrow."""
     import pyarrow as pa
-
-    return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        texts = batch.column(column)
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+        for a, b in ranges_of(sizes, limit):
+            rows = batch.slice(a, b - a)
+            own = rows.column(column)
+            yield rows, [x or b"" for x in own.cast(pa.large_binary() if pa.types.is_large_string(own.type) else pa.binary()).to_pylist()]

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from maskwright.llm.common import NULL_ID, blocks_of, bytes_of, id_and_text, public_id, unique_rows
+from maskwright.llm.common import held_out, id_and_text, public_id, row_id, text_blocks, unique_rows
 
 #: Units a direction, bytes of a window, windows that run side by side.
 UNITS, WINDOW, LANES = 12, 128, 1024
@@ -20,7 +17,8 @@ UNITS, WINDOW, LANES = 12, 128, 1024
 PER_LANGUAGE, SNIPPET = 400, 400
 STEPS, BATCH, SPAN, RATE, SEED = 400, 192, 40, 0.02, 7
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: Bytes of text that are predicted at once; a longer text is run whole.
+BLOCK = 4 * LANES * WINDOW
 
 
 class Network:
@@ -177,9 +175,15 @@ class Network:
 def learn(docs: DataFrame, share: int = 3) -> Network:
     """Fits the network on a bounded sample of the labelled rows whose crc32(doc_id as text) mod share is not 1."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    own = unique_rows(own).withColumn("id", F.coalesce("doc_id", F.lit(NULL_ID)))
+    own = unique_rows(own).withColumn("id", row_id())
     rows = own.filter("lang is not null and text is not null").filter(~held_out(share))
     mark = F.xxhash64("id")
+    # of a language with many documents, those whose hash lies under a bound that leaves four times the sample
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    many = {k: int(2**62 * 4 * PER_LANGUAGE / n) for k, n in sizes.items() if n > 8 * PER_LANGUAGE}
+    if many:
+        bound = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
+        rows = rows.filter(F.coalesce(F.shiftrightunsigned(mark, 2) < F.try_element_at(bound, F.col("lang")), F.lit(True)))
     at = F.pmod(mark, F.greatest(F.length("text") - SNIPPET, F.lit(1)))
     snippets = rows.select("lang", mark.alias("mark"), "id", F.substr("text", (at + 1).cast("int"), F.lit(SNIPPET)).alias("text"))
     first = snippets.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("mark", "id"))).filter(F.col("place") <= PER_LANGUAGE)
@@ -189,32 +193,26 @@ def learn(docs: DataFrame, share: int = 3) -> Network:
     return Network(languages).fit(texts, [languages.index(r[0]) for r in sample])
 
 
-def held_out(share: int):
-    """Whether crc32 of the id as text (a null id: of the empty text) leaves 1 when divided by share."""
-    return F.crc32(F.when(F.col("id") == NULL_ID, F.lit("")).otherwise(F.col("id").cast("string"))) % share == 1
-
-
 def predicted(net: Network, texts: list[bytes]) -> tuple[list[str], list[float]]:
-    """Language and pooled probability of each text; bounded memory however long the texts are together."""
+    """Language and pooled probability of each text."""
     languages, scores = [], []
-    for a, b in blocks_of(texts, 4 * LANES * WINDOW):
-        pooled = net.pooled(texts[a:b]) if net.languages else np.zeros((b - a, 0))
-        for t, p in zip(texts[a:b], pooled):
-            if len(p) and _LETTER.search(t.decode("utf-8", "replace")):
-                k = int(np.argmax(p))
-                languages.append(net.languages[k])
-                scores.append(min(1.0, float(p[k])))
-            else:
-                languages.append(UNKNOWN)
-                scores.append(0.0)
+    pooled = net.pooled(texts) if net.languages else np.zeros((len(texts), 0))
+    for t, p in zip(texts, pooled):
+        if len(p) and any(map(str.isalpha, t.decode("utf-8", "replace"))):
+            k = int(np.argmax(p))
+            languages.append(net.languages[k])
+            scores.append(min(1.0, float(p[k])))
+        else:
+            languages.append(UNKNOWN)
+            scores.append(0.0)
     return languages, scores
 
 
 def _predict(model):
     def predict(batches):
-        for batch in batches:
-            languages, scores = predicted(model.value, bytes_of(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(languages, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])
+        for rows, texts in text_blocks(batches, limit=BLOCK):
+            languages, scores = predicted(model.value, texts)
+            yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(languages, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])
 
     return predict
 
@@ -222,10 +220,14 @@ def _predict(model):
 def language_of(model, text: Column) -> Column:
     """A column (lang_pred, score) for a text column; model: a broadcast Network. Rows stay where they are."""
 
-    @F.pandas_udf("lang_pred string, score double")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        languages, scores = predicted(model.value, [(t or "").encode("utf-8", "replace") for t in texts])
-        return pd.DataFrame({"lang_pred": languages, "score": scores})
+    @F.arrow_udf("struct<lang_pred string, score double>")
+    def of(texts: pa.Array) -> pa.Array:
+        languages, scores = [], []
+        for _, own in text_blocks([pa.RecordBatch.from_arrays([texts], ["text"])], limit=BLOCK):
+            found = predicted(model.value, own)
+            languages += found[0]
+            scores += found[1]
+        return pa.StructArray.from_arrays([pa.array(languages, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     return of(text)
 

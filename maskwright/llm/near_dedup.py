@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from maskwright.llm.common import Block, blocks_of, bytes_of, id_and_text, mixed, public_id, written
+from maskwright.llm.common import Block, dropped, id_and_text, mixed, public_id, released, text_blocks, written
 from maskwright.llm.decontaminate import gram_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -19,10 +19,12 @@ BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
 #: Leaders of a bucket in the first round after the stars, and how many times more in each later one.
 LEADERS, GROWTH = 16, 8
-#: Shingles before its own that a row of the prefix filter names.
-BEFORE = 16
-BLOCK = 2 << 20
-SKETCH = "id long, k1 long, k2 long, bands array<long>, grams binary, weights binary"
+#: A document's rarest shared shingles that a row of the prefix filter names, to bound its likeness to others: so many
+#: at most, and none of the most frequent that make up this part of its weight.
+HEAD, FREQUENT = 64, 0.5
+#: Bytes of text that are sketched at once, and pairs that leave Arrow at once for their check.
+BLOCK, PAIRS = 1 << 20, 256
+SKETCH, GRAMS = "id long, k1 long, k2 long, bands array<long>", "id long, grams binary, weights binary"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -85,27 +87,36 @@ def band_hashes(signature: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _shingled(batches):
+    """(ids, texts, for each text its sorted shingles and their counts, all of the block's)."""
+    for batch, texts in text_blocks(batches, limit=BLOCK):
+        doc, hashes, counts = shingles(Block(texts), len(texts))
+        cut = np.searchsorted(doc, np.arange(len(texts) + 1))
+        own = [(hashes[a:b], counts[a:b]) for a, b in zip(cut[:-1], cut[1:])]
+        yield batch.column("id").to_pylist(), texts, own, (doc, hashes, counts)
+
+
+def _weights(counts: np.ndarray) -> bytes | None:
+    return counts.astype("<u4").tobytes() if len(counts) and counts.max() > counts.min() else None
+
+
 def _sketch(batches):
-    for batch in batches:
-        ids, texts = batch.column("id").to_pylist(), bytes_of(batch.column("text"))
-        for a, b in blocks_of(texts, BLOCK):
-            block = Block(texts[a:b])
-            doc, hashes, counts = shingles(block, b - a)
-            bands = band_hashes(prob_minhash(doc, hashes, counts, b - a))
-            cut = np.searchsorted(doc, np.arange(b - a + 1))
-            rows = []
-            for d in range(b - a):
-                own, n = hashes[cut[d] : cut[d + 1]], counts[cut[d] : cut[d + 1]]
-                if not len(own):
-                    key, grams, weights, mine = b"t" + texts[a + d], None, None, []
-                else:
-                    small = (own >> np.uint64(32)).astype("<u4")
-                    grams, weights = small.tobytes(), n.astype("<u4").tobytes() if n.max() > n.min() else None
-                    key, mine = b"g" + own.tobytes() + (weights or b""), bands[d].tolist()
-                k1, k2 = np.frombuffer(hashlib.blake2b(key, digest_size=16).digest(), np.int64).tolist()
-                rows.append((ids[a + d], k1, k2, mine, grams, weights))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["id", "k1", "k2", "bands", "grams", "weights"])
+    for ids, texts, own, every in _shingled(batches):
+        bands = band_hashes(prob_minhash(*every, len(texts)))
+        rows = []
+        for i, text, (grams, counts), mine in zip(ids, texts, own, bands):
+            key = b"g" + grams.tobytes() + (_weights(counts) or b"") if len(grams) else b"t" + text
+            k1, k2 = np.frombuffer(hashlib.blake2b(key, digest_size=16).digest(), np.int64).tolist()
+            rows.append((i, k1, k2, mine.tolist() if len(grams) else []))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["id", "k1", "k2", "bands"])
+
+
+def _grams_of(batches):
+    for ids, _, own, _ in _shingled(batches):
+        rows = [(i, (grams >> np.uint64(32)).astype("<u4").tobytes(), _weights(counts)) for i, (grams, counts) in zip(ids, own)]
+        kinds = (pa.int64(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["id", "grams", "weights"])
 
 
 def likeness(a: np.ndarray, wa: np.ndarray | None, b: np.ndarray, wb: np.ndarray | None) -> float:
@@ -129,7 +140,7 @@ def likeness(a: np.ndarray, wa: np.ndarray | None, b: np.ndarray, wb: np.ndarray
 
 
 def _verify(batches):
-    for batch in batches:
+    for batch in (b.slice(k, PAIRS) for b in batches for k in range(0, b.num_rows, PAIRS)):
         out = []
         g = [batch.column(c).to_pylist() for c in ("g1", "w1", "g2", "w2")]
         for a, wa, b, wb in zip(*g):
@@ -150,19 +161,41 @@ def verified(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
     return whole.select("a", "b", "g1", "w1", "g2", "w2").mapInArrow(_verify, "a long, b long, likeness double")
 
 
-def classes(links: DataFrame) -> DataFrame:
-    """(id, class) of the ids in links (a, b): class is the least id that is reached. Each round takes the least label
-    around and then that label's own label, so that long chains shorten by half; labels are written every round."""
-    both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("__m")).select("id", F.least("id", "__m").alias("class")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "class"), "b").groupBy("a").agg(F.min("class").alias("near"))
-        next_ = labels.join(near, labels["id"] == near["a"]).select("id", F.col("class").alias("old"), F.least("class", "near").alias("mid"))
-        up = labels.select(F.col("id").alias("mid"), F.col("class").alias("up"))
-        after = written(next_.join(up, "mid").select("id", "old", F.least("mid", "up").alias("class")), "labels")
-        labels = after.select("id", "class")
-        if after.filter("old <> class").isEmpty():
-            return labels
+def classes(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(id, class) of the ids in links (a, b) and of the known ones: class is the least id that is reached.
+
+    known: the same for links before these. Links between ids of one class are nothing new; the others join classes. In
+    each round every node points to its least neighbour, pointers are followed to their ends, by halves, and links are
+    drawn between these; so their number falls fast, and rounds grow as its logarithm.
+    """
+    empty = links.select(F.col("a").alias("id"), F.col("a").alias("class")).limit(0)
+    known = empty if known is None else known
+    of = lambda rows, c: rows.join(known.select(F.col("id").alias(c), F.col("class").alias("__c")), c, "left").withColumn(c, F.coalesce("__c", c)).drop("__c")
+    between = lambda rows: written(rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "links")
+    edges, steps = between(of(of(links.select("a", "b"), "a"), "b")), []
+    while not edges.isEmpty():
+        both = edges.union(edges.select("b", "a"))
+        up = written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("up")), "labels")
+        while True:
+            top = up.select(F.col("id").alias("up"), F.col("up").alias("top"))
+            next_ = written(up.join(top, "up").select("id", F.col("top").alias("up"), (F.col("up") != F.col("top")).alias("moved")), "labels")
+            dropped(up)
+            up = next_.drop("moved")
+            up.shared_path = next_.shared_path
+            if next_.filter("moved").isEmpty():
+                break
+        steps.append(up)
+        ends = edges.join(up.select(F.col("id").alias("a"), F.col("up").alias("x")), "a").join(up.select(F.col("id").alias("b"), F.col("up").alias("y")), "b")
+        last, edges = edges, between(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        dropped(last)
+    if not steps:
+        return known
+    labels = known.unionByName(steps[0].select("id", F.col("id").alias("class")).join(known.select("id"), "id", "left_anti"))
+    for step in steps:
+        labels = labels.join(step.select(F.col("id").alias("class"), "up"), "class", "left").select("id", F.coalesce("up", "class").alias("class"))
+    out = written(labels, "labels")
+    dropped(*steps)
+    return out
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
@@ -178,24 +211,29 @@ def compared(asked: DataFrame, sketch: DataFrame, known: DataFrame | None) -> Da
     return written(verified(pairs, sketch), "pairs")
 
 
-def stars(rows: DataFrame, sketch: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Compares the most central id of each bucket with the bucket's others. rows: (bucket, id, more columns).
+def stars(rows: DataFrame, sketch_of, known: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Compares the most central id of each bucket with the bucket's others. rows: (bucket, id);
+    sketch_of: the table of sketches for a table of ids.
 
     An id is as central as its buckets are large in sum: the text that copies were made from shares more with each of
-    them than they share with each other. Gives all pairs known now, and (bucket, id, more, score, d) with each member's
-    distance from that leader, the leader left out.
+    them than they share with each other. Gives all pairs known now, and (bucket, lead, id, score, d) with each
+    member's distance from that leader, the leader left out, and the sketches.
     """
-    more = rows.columns
     full = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     shared = written(rows.join(full, "bucket"), "buckets")
     score = shared.groupBy("id").agg(F.sum("n").alias("score"))
-    scored = written(shared.select(*more).join(score, "id"), "buckets")
+    scored = written(shared.select("bucket", "id").join(score, "id"), "buckets")
     lead = scored.groupBy("bucket").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("lead"))
     bucket = written(scored.join(lead, "bucket").filter("id <> lead"), "buckets")
+    dropped(shared, scored)
+    sketch = sketch_of(bucket.select("id").union(bucket.select("lead")).distinct())
+    released(rows.sparkSession)
     new = compared(bucket.select("lead", "id"), sketch, known)
     found = new if known is None else known.unionByName(new)
     d = both_ways(found).select(F.col("a").alias("lead"), F.col("b").alias("id"), (1 - F.col("likeness")).alias("d"))
-    return found, written(bucket.join(d, ["lead", "id"]).select(*more, "score", "d"), "rest")
+    rest = written(bucket.join(d, ["lead", "id"]).select("bucket", "lead", "id", "score", "d"), "rest")
+    dropped(bucket)
+    return found, rest, sketch
 
 
 def _grams(batches):
@@ -209,36 +247,51 @@ def _grams(batches):
 
 
 def prefixes(grams: DataFrame, similarity: float) -> DataFrame:
-    """(bucket, id, left, before): each document's rarest shingles, as many as leave less than `similarity` of its weight.
+    """(bucket, id, key, left, alone, least, head): each document's rarest shingles, as many as leave less than `similarity` of
+    its weight, but for those that no other document has.
 
     Alike documents share that much of the weight of each, so the rarest shingle that they share is among these of
     both. A passage that many documents share is frequent and so last in the order: it brings none of them together.
-    left: the weight from this shingle on. before: the shingles of the prefix that come just before it, see meet_first().
+    key: place of the shingle in the order; left: the weight from it on; alone: the weight of the shingles that no other
+    document has; least: the least weight of a shingle; head: keys of the document's first shingles in the order that
+    other documents have too.
     A bucket whose members all have the same shingle just before it is left out: they all meet in that one's bucket.
     """
     counts = grams.groupBy("gram").agg(F.count("*").alias("n"))
-    by_rank = W.partitionBy("id").orderBy(F.desc("n"), F.desc("gram"))
-    left = grams.join(counts.filter("n > 1"), "gram", "left").withColumn("n", F.coalesce("n", F.lit(1)))
-    left = left.withColumn("left", F.sum("share").over(by_rank.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    kept = left.filter((F.col("left") >= similarity - 1e-9) & (F.col("n") > 1))
-    rows = kept.select(F.col("gram").alias("bucket"), "id", "left", F.collect_list("gram").over(by_rank.rowsBetween(1, BEFORE)).alias("before"))
-    rows = written(rows, "prefixes")
-    last = F.get("before", F.lit(0))
-    whole = rows.groupBy("bucket").agg(F.min(last).alias("least"), F.max(last).alias("most"), F.min(F.size("before")).alias("some"))
-    inside = whole.filter("some > 0 and least = most").select("bucket")
-    return rows.join(inside, "bucket", "left_anti")
-
-
-def meet_first(similarity: float, one: str = "", two: str = "l") -> Column:
-    """Whether two members of a bucket can be alike and do not meet in an earlier one. Columns left, before of each.
-
-    Where they share none of the shingles just before, this may be the rarest that they share. Then the parts s and t of
-    their weights that they share are at most what is left from here on, and their likeness at most 1 / (1/s + 1/t - 1):
-    the sum over shared i of 1 / (x + (1 - t) y) with 1/x, 1/y the shares of i, which is concave in these, is at most
-    its value for their sums s and t.
+    key = F.shiftleft(F.col("n"), 32).bitwiseOR(F.col("gram"))
+    left = grams.join(counts.filter("n > 1"), "gram", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("key", key)
+    by_key, own = W.partitionBy("id").orderBy("key"), W.partitionBy("id")
+    left = left.withColumn("left", F.sum("share").over(W.partitionBy("id").orderBy(F.desc("key")).rowsBetween(W.unboundedPreceding, W.currentRow)))
+    left = left.withColumn("alone", F.coalesce(F.sum(F.when(F.col("n") == 1, F.col("share"))).over(own), F.lit(0.0)))
+    left = left.withColumn("least", F.min("share").over(own)).filter((F.col("left") >= min(similarity - 1e-9, FREQUENT)) & (F.col("n") > 1))
+    head = F.slice(F.collect_list("key").over(by_key.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)), 1, HEAD)
+    rows = left.select(F.col("gram").alias("bucket"), "id", "key", "left", "alone", "least", head.alias("head"), F.lag("key").over(by_key).alias("last"))
+    rows = written(rows.filter(F.col("left") >= similarity - 1e-9), "prefixes")
+    whole = rows.groupBy("bucket").agg(F.min("last").alias("low"), F.max("last").alias("high"), (F.count("last") == F.count("*")).alias("every"))
+    inside = whole.filter("every and low = high").select("bucket")
+    return rows.drop("last").join(inside, "bucket", "left_anti")
+
+
+def may_be_alike(similarity: float) -> Column:
+    """Whether two members of a bucket can be alike and do not meet in an earlier one. Columns key, left, alone,
+    least, head of one, lleft, lalone, lleast, lhead of the other.
+
+    Where they share no shingle before this one, it is the rarest that they share. Then the parts s and t of their
+    weights that they share are at most what is left from here on, and their likeness at most 1 / (1/s + 1/t - 1): the
+    sum over shared i of 1 / (x + (1 - t) y) with 1/x, 1/y the shares of i, which is concave in these, is at most its
+    value for their sums s and t. The heads bound these parts too: up to the lesser of their last keys all shared
+    shingles are in both, so what only one of them has there, and what it has alone, is not shared.
     """
-    bound = 1 / F.col(f"{one}left") + 1 / F.col(f"{two}left") <= 1 / similarity + 1 + 1e-6
-    return bound & ~F.arrays_overlap(f"{one}before", f"{two}before")
+    alike = lambda s, t: (s > 0) & (t > 0) & (1 / F.nullif(s, F.lit(0.0)) + 1 / F.nullif(t, F.lit(0.0)) <= 1 / similarity + 1 + 1e-6)
+    both = F.array_intersect("head", "lhead")
+    upto = F.least(F.element_at("head", -1), F.element_at("lhead", -1))
+
+    def shared(alone: str, least: str, head: str) -> Column:
+        lost = F.size(F.filter(head, lambda k: k <= upto)) - F.size(both)
+        return 1 - F.col(alone) - lost * F.col(least) + 1e-9
+
+    earlier = F.coalesce(F.get(both, F.lit(0)) < F.col("key"), F.lit(False))
+    return alike(F.col("left"), F.col("lleft")) & ~earlier & alike(shared("alone", "least", "head"), shared("lalone", "lleast", "lhead"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -250,50 +303,71 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     null doc_id is an id that sorts first; rows that share a doc_id count as one document, the one of least text.
     Extra columns are not read. An empty table gives no rows.
 
-    In each band bucket the most central id leads: it is compared with all others, so pairs grow with members, not with their
-    square. Members unlike their leader, and those that the distances from it (a metric) leave in reach of them, are
-    brought together again by their rarest shingles, an exact filter for the likeness: one leads, and in each further
-    round several times more of those still unlike lead, so rounds grow as the logarithm of such a group. Last,
-    members of one such group that are linked to leaders of different classes are compared. So no link that shares a band bucket is missed.
+    In each band bucket the most central id leads: it is compared with all others, so pairs grow with members, not with
+    their square. Members unlike their leader, and those that the distances from it (a metric) leave in reach of them,
+    are brought together again by their rarest shingles, an exact filter for the likeness: one leads, and in each further
+    round several times more of those that are in no leader's class, so rounds grow as the logarithm of such a group. Only
+    pairs of different classes are compared that the distances and the heads of both leave in reach. Last, members of
+    one such group that never led and are still in different classes are compared. So no link between classes that
+    shares a band bucket is missed. Ties: of equally central ids the least leads. Texts of any length are sketched whole.
     """
-    base = id_and_text(docs)
-    sketch = written(base.mapInArrow(_sketch, SKETCH), "sketch")
-    heads = sketch.groupBy("k1", "k2").agg(F.min("id").alias("head"))
-    members = written(sketch.select("id", "k1", "k2").join(heads, ["k1", "k2"]).select("id", "head"), "members")
-    own = sketch.join(heads.select(F.col("head").alias("id")), "id", "left_semi")
+    classed = near_classes(id_and_text(docs), similarity)
+    return classed.select(public_id().alias("doc_id"), public_id("class").alias("class_id"))
+
+
+def near_classes(base: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(id, class) of rows (id, text) from id_and_text(); see near_duplicates()."""
+    bands = written(base.mapInArrow(_sketch, SKETCH), "sketch")
+    heads = bands.groupBy("k1", "k2").agg(F.min("id").alias("head"))
+    members = written(bands.select("id", "k1", "k2").join(heads, ["k1", "k2"]).select("id", "head"), "members")
+    own = members.filter("id = head").select("id")
     reach = 1 - similarity + 1e-9
-    found, rest = stars(own.select("id", F.explode("bands").alias("bucket")), sketch, None)
-    # what a bucket's leader leaves open: members unlike it, and those near enough to one of them by the distances
-    least = rest.filter(F.col("d") > reach).groupBy("bucket").agg(F.min("d").alias("least"))
-    open_ = rest.join(least, "bucket").filter(F.col("d") >= F.col("least") - reach).select("id").distinct()
-    rows = prefixes(written(sketch.join(open_, "id", "left_semi").mapInArrow(_grams, "id long, gram long, share double"), "grams"), similarity)
-    found, rest = stars(rows, sketch, found)
-    free = written(rest.filter(F.col("d") > reach), "free")
-    leaders = LEADERS
-    place = ["bucket", "id", "left", "before"]
-    covered = rest.filter(F.col("d") <= reach).select(*place)
+    banded = bands.select("id", F.explode("bands").alias("bucket")).join(own, "id", "left_semi")
+    # shingles themselves are taken a second time, from those texts alone that share a bucket
+    found, rest, sketch = stars(banded, lambda ids: written(base.join(ids, "id", "left_semi").mapInArrow(_grams_of, GRAMS), "grams"), None)
+    dropped(bands)
+    links = lambda pairs: pairs.filter(F.col("likeness") >= similarity).select("a", "b")
+    labels = classes(links(found))
+    classed = lambda rows, c, out: rows.join(labels.select(F.col("id").alias(c), F.col("class").alias("__c")), c, "left").withColumn(out, F.coalesce("__c", c)).drop("__c")
+    # what a bucket's leader leaves open: members of other classes than its own, and those that are near enough to one
+    # of them by the distances
+    known = written(classed(classed(rest, "lead", "own"), "id", "class").select("bucket", "id", "d", (F.col("own") != F.col("class")).alias("other")), "known")
+    least = known.filter("other").groupBy("bucket").agg(F.min("d").alias("least"))
+    open_ = known.join(least, "bucket").filter(F.col("other") | (F.col("d") >= F.col("least") - reach)).select("id").distinct()
+    # all that follows is about the open ones: their sketches are shuffled, not everyone's
+    whole, sketch = sketch, written(sketch.join(open_, "id", "left_semi"), "open")
+    dropped(whole, rest, known)
+    grams = written(sketch.mapInArrow(_grams, "id long, gram long, share double"), "grams")
+    rows = prefixes(grams, similarity)
+    found, near, _ = stars(rows.select("bucket", "id"), lambda _: sketch, found)
+    rest = written(near.join(rows, ["bucket", "id"]), "rest")
+    dropped(grams, near)
+    labels = classes(links(found), labels)
+    apart = classed(classed(rest, "lead", "own"), "id", "class").filter(F.col("own") != F.col("class"))
+    rest = rest.drop("lead")
+    free, led, leaders = written(apart.select(*rest.columns), "free"), None, LEADERS
+    other = lambda rows, *more: rows.select("bucket", F.col("id").alias("lead"), *[F.col(c).alias(f"l{c}") for c in ("d", "left", "alone", "least", "head", *more)])
+    meet = (F.abs(F.col("d") - F.col("ld")) <= reach) & may_be_alike(similarity)
     while not free.isEmpty():
-        first = W.partitionBy("bucket").orderBy(F.desc("score"), "id")
-        lead = free.withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= leaders).select("bucket", F.col("id").alias("lead"), F.col("d").alias("ld"), F.col("left").alias("lleft"), F.col("before").alias("lbefore"))
-        asked = rest.join(lead, "bucket").filter((F.col("id") != F.col("lead")) & (F.abs(F.col("d") - F.col("ld")) <= reach) & meet_first(similarity))
-        found = found.unionByName(compared(asked.select("lead", "id"), sketch, found))
-        near = both_ways(found.filter(F.col("likeness") >= similarity)).select(F.col("a").alias("lead"), F.col("b").alias("id"))
-        leads = lead.select("bucket", F.col("lead").alias("id"))
-        left = free.join(leads, ["bucket", "id"], "left_anti")
-        linked = lead.join(near, "lead").select("bucket", "id").distinct()
-        covered = covered.unionByName(written(left.join(linked, ["bucket", "id"], "left_semi").select(*place), "covered"))
-        free = written(left.join(linked, ["bucket", "id"], "left_anti"), "free")
+        one = W.partitionBy("bucket", "class").orderBy(F.desc("score"), "id")
+        some = W.partitionBy("bucket").orderBy(F.desc("score"), "id")
+        first = classed(free, "id", "class").withColumn("__n", F.row_number().over(one)).filter("__n = 1")
+        lead = written(first.withColumn("__n", F.row_number().over(some)).filter(F.col("__n") <= leaders).drop("__n", "class"), "leaders")
+        pairs = rest.join(other(lead), "bucket").filter((F.col("id") != F.col("lead")) & meet).select("lead", "id")
+        asked = written(classed(classed(pairs, "lead", "c1"), "id", "c2").filter("c1 <> c2").select("lead", "id"), "asked")
+        new = compared(asked, sketch, found)
+        found, labels = found.unionByName(new), classes(links(new), labels)
+        led = lead if led is None else led.unionByName(lead)
+        done = classed(led.select("bucket", "id"), "id", "class").select("bucket", "class").distinct()
+        last, free = free, written(classed(free, "id", "class").join(done, ["bucket", "class"], "left_anti").drop("class"), "free")
+        dropped(asked, last)
         leaders *= GROWTH
-    links = found.filter(F.col("likeness") >= similarity).select("a", "b")
-    labels = classes(links)
-    # two members, each linked to a leader of its own, may be linked though neither leader is linked to the other's
-    classed = written(covered.join(labels, "id"), "covered")
-    several = classed.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("bucket")
-    split = classed.join(several, "bucket")
-    other = split.select("bucket", F.col("id").alias("y"), F.col("class").alias("cy"), F.col("left").alias("lleft"), F.col("before").alias("lbefore"))
-    missed = split.join(other, "bucket").filter((F.col("class") < F.col("cy")) & meet_first(similarity)).select(F.col("id").alias("x"), "y")
-    late = written(compared(missed.select("x", "y"), sketch, found).filter(F.col("likeness") >= similarity), "late")
-    if not late.isEmpty():
-        labels = classes(links.unionByName(late.select("a", "b")))
-    out = members.join(labels.withColumnRenamed("id", "head"), "head", "left")
-    return out.select(public_id().alias("doc_id"), F.nullif(F.coalesce("class", "head"), F.lit(-(2**63))).alias("class_id"))
+    # members that never led may be linked though they are in different classes
+    kept = rest if led is None else rest.join(led.select("bucket", "id"), ["bucket", "id"], "left_anti")
+    kept = written(classed(kept, "id", "class"), "covered")
+    several = kept.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("bucket")
+    split = written(kept.join(several, "bucket"), "split")
+    missed = split.join(other(split, "class"), "bucket").filter((F.col("class") < F.col("lclass")) & meet).select("lead", "id")
+    late = compared(missed, sketch, found)
+    labels = classes(links(late), labels)
+    return members.join(labels.withColumnRenamed("id", "head"), "head", "left").select("id", F.coalesce("class", "head").alias("class"))
