@@ -25,8 +25,9 @@ def packed(df: DataFrame, **own: Column) -> DataFrame:
 
 def unpacked(df: DataFrame, columns: list[str], **added: Column) -> DataFrame:
     """The packed columns and the added ones, which take the place of columns of the same name."""
+    made = df.select("__row", *[c.alias(f"__added{i}") for i, c in enumerate(added.values())])
     kept = [F.col("__row")[c].alias(c) for c in columns if c not in added]
-    return df.select(*kept, *[c.alias(k) for k, c in added.items()])
+    return made.select(*kept, *[F.col(f"__added{i}").alias(k) for i, k in enumerate(added)])
 
 
 def compiled(df: DataFrame, rule: Rule) -> None:
@@ -106,9 +107,9 @@ def _checked(text: Column, index: int, order: int, engine: Engine):
 
     def check(f, i):
         head = F.encode(text, "UTF-8")
-        piece = F.decode(F.substring(head, f["start"] + 1, f["end"] - f["start"]), "UTF-8")
-        before = F.decode(F.substring(head, F.lit(1), f["start"]), "UTF-8")
-        fits = (f["start"] >= 0) & (f["end"] > f["start"]) & (f["end"] <= F.octet_length(text)) & (piece == f["text"]) & score_ok(f["score"])
+        piece = F.substring(head, f["start"] + 1, f["end"] - f["start"])
+        before = F.substring(head, F.lit(1), f["start"]).cast("string")
+        fits = (f["start"] >= 0) & (f["end"] > f["start"]) & (f["end"] <= F.octet_length(text)) & (piece == F.encode(f["text"], "UTF-8")) & F.call_function("is_valid_utf8", before) & score_ok(f["score"])
         known = f["entity"].isin(list(engine.entities))
         cstart = F.char_length(before)
         own = F.struct(f["entity"], f["start"], f["end"], f["score"], f["text"], cstart.alias("cstart"), (cstart + F.char_length(f["text"])).alias("cend"), F.lit(index).alias("rec_idx"), (F.lit(order * 10_000) + i).alias("ord")).cast(CANDIDATE)

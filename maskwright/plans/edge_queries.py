@@ -337,3 +337,56 @@ def event_segments(spark, sf_dir):
     parts = [f"encode(concat('{frame}', '\\n\\n', 'data: [DONE]\\n\\n'), 'UTF-8')"]
     out = restore_event_chunks(_chunks(spark, sf_dir, parts).filter("cast(stream_id as long) % 50 = 0"))
     return out.groupBy("stream_id").agg(F.count(F.when(F.octet_length("bytes") > 0, 1)).alias("n_segments"), F.max(F.octet_length("bytes")).cast("long").alias("largest"))
+
+
+_LINES = "'\\uFEFF', ': beat', {nl}, {nl}, 'event: x', {nl}, 'data: {{\"choices\":[{{\"index\":0,', {nl}, 'data: \"delta\":{{\"content\":\"to [EMAIL_1]\"}}}}]}}', {nl}, {nl}, 'data: [DONE]', {nl}, {nl}"
+
+
+_LINES_SQL = "chr(65279), ': beat', {nl}, {nl}, 'event: x', {nl}, 'data: {{\"choices\":[{{\"index\":0, \"delta\":{{\"content\":\"to ', {mail}, '\"}}}}]}}', {nl}, {nl}, 'data: [DONE]', {nl}, {nl}"
+
+
+@_query(f"select cast(c_custkey as varchar) as stream_id, concat({_LINES_SQL.format(nl='nl', mail=MAIL_SQL)}) as body from (select c_custkey, [chr(10), chr(13), concat(chr(13), chr(10))][cast(c_custkey % 3 + 1 as int)] as nl from customer)")
+def event_lines(spark, sf_dir):
+    """A byte order mark, comments, other fields, and an event of two data lines, with each of the three line ends."""
+    ends = "get(array(chr(10), chr(13), concat(chr(13), chr(10))), cast(c_custkey % 3 as int))"
+    return _joined(restore_event_chunks(_chunks(spark, sf_dir, [f"encode(concat({_LINES.format(nl=ends)}), 'UTF-8')"])), F.decode("bytes", "UTF-8"), "chunk_no", "segment_no")
+
+
+@_query(f"""select cast(c_custkey as varchar) as stream_id, concat('data: {{"choices":[{{"index":0,"delta":{{"content":"', case when c_custkey % 2 = 0 then concat('[EMAIL_2] é ', {MAIL_SQL}) else '\\u005bEMAIL_2] \\u00e9 x' end, '"}}}}]}}', chr(10), chr(10), 'data: [DONE]', chr(10), chr(10)) as body from customer""")
+def unresolved_events(spark, sf_dir):
+    """A text in which nothing is restored keeps the escapes that it came with; another one is written anew."""
+    frame = _FRAME.format(0, "\\\\u005bEMAIL_2] \\\\u00e9 ', if(c_custkey % 2 = 0, '[EMAIL_1]', 'x'), '")
+    return _joined(restore_event_chunks(_chunks(spark, sf_dir, [f"encode(concat('{_frames(frame, 'data: [DONE]')}'), 'UTF-8')"])), F.decode("bytes", "UTF-8"), "chunk_no", "segment_no")
+
+
+@_query("select cast(c_custkey as varchar) as stream_id, case when c_custkey % 2 = 0 then 'StreamRestoreError' end as error from customer where c_custkey % 25 = 0")
+def event_route_budget(spark, sf_dir):
+    """A stream of more than 256 routes fails."""
+    many = "transform(sequence(1, cast(if(c_custkey % 2 = 0, 257, 256) as int)), i -> concat('data: {\"choices\":[{\"index\":', cast(i as string), ',\"delta\":{\"content\":\"[\"}}]}\\n\\n'))"
+    out = restore_event_chunks(_chunks(spark, sf_dir, [f"encode(array_join({many}, ''), 'UTF-8')"]).filter("cast(stream_id as long) % 25 = 0"))
+    return out.groupBy("stream_id").agg(F.max("error").alias("error"))
+
+
+_REPLIES_SQL = """
+select n_nationkey as id, 'openai' as protocol, concat('{"model":"m","messages":[{"role":"user","content":"', n_name, '"}],"stream":true}') as body, 'https://h/v1/chat/completions' as url, 2::bigint as n_headers, n_name as reply, n_name as delta, false as done from nation
+union all select n_nationkey, 'anthropic', concat('{"model":"m","max_tokens":4096,"messages":[{"role":"user","content":"', n_name, '"}]}'), 'https://h/v1/messages', 3, concat(n_name, '!'), n_name, false from nation
+union all select n_nationkey, 'gemini', concat('{"contents":[{"role":"user","parts":[{"text":"', n_name, '"}]}]}'), 'https://h/v1/models/m:streamGenerateContent?alt=sse', 2, concat('LLM error: ', n_name), concat(n_name, '?'), false from nation"""
+
+
+@_query(_REPLIES_SQL)
+def chat_protocols(spark, sf_dir):
+    """Bodies for three protocols, texts of their replies and deltas of their streams."""
+    from maskwright.sources.chat_protocols import PROTOCOLS, next_delta, reply_text, request_body, request_headers, request_url
+
+    rows = _read(spark, sf_dir, "nation", "n_nationkey as id", "n_name as name")
+    replies = {
+        "openai": ['{{"choices":[{{"message":{{"content":"{0}"}}}}]}}', '{{"choices":[{{"delta":{{"refusal":"{0}"}}}}]}}'],
+        "anthropic": ['{{"content":[{{"type":"text","text":"{0}"}},{{"type":"image"}},{{"type":"text","text":"!"}}]}}', '{{"type":"content_block_delta","delta":{{"type":"text_delta","text":"{0}"}}}}'],
+        "gemini": ['{{"error":{{"message":"{0}"}}}}', '{{"candidates":[{{"content":{{"parts":[{{"text":"{0}"}},{{"text":"?"}}]}}}}]}}'],
+    }
+    out = []
+    for p in PROTOCOLS:
+        whole, part = ((lambda t: F.concat(F.lit(t.format("\0").split("\0")[0]), F.col("name"), F.lit(t.format("\0").split("\0")[1])))(t) for t in replies[p])
+        own = rows.select("id", F.lit(p).alias("protocol"), request_body(p, F.lit("m"), F.col("name"), p == "openai").alias("body"), request_url(p, F.lit("https://h/v1/"), F.lit("m"), True).alias("url"), request_headers(p, F.lit("k")).alias("h"), reply_text(p, whole).alias("r"), next_delta(p, part).alias("d"))
+        out.append(own.select("id", "protocol", "body", "url", F.size("h").cast("long").alias("n_headers"), F.coalesce("r.text", "r.error").alias("reply"), F.col("d.delta").alias("delta"), F.col("d.done").alias("done")))
+    return out[0].union(out[1]).union(out[2])

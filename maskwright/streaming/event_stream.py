@@ -377,11 +377,11 @@ def _rows(stream_id: str, chunks, restorer: EventStreamRestorer) -> list[tuple]:
 class EventStreamProcessor(StatefulProcessor):
     """As RestoreProcessor, for event streams: (stream_id, chunk_no from 0, chunk, is_eof, mapping)."""
 
-    def __init__(self, engine: Engine | None = None):
-        self.engine = engine or Engine()
+    def __init__(self, engine: Engine | None = None, ttl_ms: int | None = None):
+        self.engine, self.ttl_ms = engine or Engine(), ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getValueState("kept", "state string, next long, mapping string, early string")
+        self.kept = handle.getValueState("kept", "state string, next long, mapping string, early string", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state, turn, mapping, early = self.kept.get() if self.kept.exists() else ("", 0, "{}", "[]")
@@ -398,15 +398,18 @@ class EventStreamProcessor(StatefulProcessor):
             ready.append((turn, bytes.fromhex(chunk), eof))
             turn += 1
         out = _rows(key[0], ready, restorer)
+        if sum(len(c) // 2 for c, _ in held.values()) > self.engine.max_input_bytes:
+            out.append((key[0], turn, 0, b"", [], "LimitExceeded"))
+            held = {}
         self.kept.update((restorer.state(), turn, json.dumps(known), json.dumps([[n, c, e] for n, (c, e) in held.items()])))
         yield pd.DataFrame(out, columns=_COLUMNS)
 
     def close(self) -> None: ...
 
 
-def restore_event_stream(chunks: DataFrame, engine: Engine | None = None) -> DataFrame:
-    """Structured Streaming: chunks of event streams to restored segments."""
-    return chunks.groupBy("stream_id").transformWithStateInPandas(EventStreamProcessor(engine), outputStructType=OUTPUT, outputMode="append", timeMode="none")
+def restore_event_stream(chunks: DataFrame, engine: Engine | None = None, ttl_ms: int | None = None) -> DataFrame:
+    """Structured Streaming: chunks of event streams to restored segments; ttl_ms as in restore_stream()."""
+    return chunks.groupBy("stream_id").transformWithStateInPandas(EventStreamProcessor(engine, ttl_ms), outputStructType=OUTPUT, outputMode="append", timeMode="processingTime" if ttl_ms else "none")
 
 
 def restore_event_chunks(chunks: DataFrame, engine: Engine | None = None) -> DataFrame:

@@ -144,18 +144,23 @@ def rows_of(stream_id: str, chunks, restorer: StreamRestorer) -> list[tuple]:
 _COLUMNS = ["stream_id", "chunk_no", "text", "events", "error"]
 
 
+def overdue(stream_id: str, turn: int) -> tuple:
+    return (stream_id, turn, "", [], "LimitExceeded")
+
+
 class RestoreProcessor(StatefulProcessor):
     """For groupBy('stream_id').transformWithStateInPandas over (stream_id, chunk_no, chunk, is_eof, mapping).
 
     mapping: map of placeholders, given with any row of the stream up to the first token. Rows are taken by chunk_no;
-    a chunk that comes before its turn is held until the gap is filled.
+    a chunk that comes before its turn is held until the gap is filled, as many as one input may have bytes; beyond that
+    they are given up with the error LimitExceeded.
     """
 
-    def __init__(self, engine: Engine | None = None):
-        self.engine = engine or Engine()
+    def __init__(self, engine: Engine | None = None, ttl_ms: int | None = None):
+        self.engine, self.ttl_ms = engine or Engine(), ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getValueState("kept", "state string, next long, mapping string, early string")
+        self.kept = handle.getValueState("kept", "state string, next long, mapping string, early string", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state, turn, mapping, early = self.kept.get() if self.kept.exists() else ("", 0, "{}", "[]")
@@ -172,15 +177,21 @@ class RestoreProcessor(StatefulProcessor):
             ready.append((turn, bytes.fromhex(chunk), eof))
             turn += 1
         out = rows_of(key[0], ready, restorer)
+        if sum(len(c) // 2 for c, _ in held.values()) > self.engine.max_input_bytes:
+            out.append(overdue(key[0], turn))
+            held = {}
         self.kept.update((restorer.state(), turn, json.dumps(known), json.dumps([[n, c, e] for n, (c, e) in held.items()])))
         yield pd.DataFrame(out, columns=_COLUMNS)
 
     def close(self) -> None: ...
 
 
-def restore_stream(chunks: DataFrame, engine: Engine | None = None) -> DataFrame:
-    """Structured Streaming: (stream_id, chunk_no from 0, chunk, is_eof, mapping) to restored pieces."""
-    return chunks.groupBy("stream_id").transformWithStateInPandas(RestoreProcessor(engine), outputStructType=OUTPUT, outputMode="append", timeMode="none")
+def restore_stream(chunks: DataFrame, engine: Engine | None = None, ttl_ms: int | None = None) -> DataFrame:
+    """Structured Streaming: (stream_id, chunk_no from 0, chunk, is_eof, mapping) to restored pieces.
+
+    ttl_ms: the state of a stream that nothing came for so long is forgotten.
+    """
+    return chunks.groupBy("stream_id").transformWithStateInPandas(RestoreProcessor(engine, ttl_ms), outputStructType=OUTPUT, outputMode="append", timeMode="processingTime" if ttl_ms else "none")
 
 
 def restore_chunks(chunks: DataFrame, engine: Engine | None = None) -> DataFrame:
