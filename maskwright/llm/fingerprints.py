@@ -13,8 +13,11 @@ from maskwright.llm.common import even_parts, id_and_text, public_id, written
 #: A term is in the lexicon if its share of the documents lies in this band. The lower end bounds the lexicon:
 #: documents that hold m distinct terms on average have at most m / LOW terms that reach it, at any size.
 LOW, HIGH = 0.01, 0.2
-#: Up to this many terms the lexicon is a set in the plan; above, it is joined by shuffle.
+#: Up to this many terms the lexicon is a set in the plan; above, it is joined by shuffle, with the same result.
 SET_TERMS = 50_000
+#: A document with fewer terms in the band is known by all its terms: short ones, and groups of copies so large that
+#: their terms stand in too many documents.
+LEAST_TERMS = 8
 #: Each random lexicon keeps one in so many terms, by bits of their hashes: long documents need sparse lexicons.
 SPARSITY = (4, 16, 64, 128)
 #: First bit of each sparsity's window in the 16 bits that a round of lexicons takes of a term's 128 hash bits.
@@ -41,8 +44,8 @@ def lexicon(texts: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame
 def hashed(terms: Column, text_hash: Column) -> Column:
     """The fingerprint: for each lexicon the hash of the document's terms in it, or nothing.
 
-    terms: sorted array of (term, h1, h2), a column that is already computed. A document without any term in the band
-    is known by its text alone.
+    terms: sorted array of (term, h1, h2), a column that is already computed. A document of which no lexicon holds a
+    term is known by its text alone.
     """
     parts = []
     for k in range(ROUNDS):
@@ -50,7 +53,8 @@ def hashed(terms: Column, text_hash: Column) -> Column:
         for size, at in zip(SPARSITY, WINDOW_AT):
             parts.append(_joined(terms, word, base + at, size - 1))
     short = F.transform(F.array(*parts), lambda s: F.when(s == "", s).otherwise(F.substring(F.md5(s), 1, 12)))
-    return F.when(F.size(terms) > 0, F.array_join(short, ",")).otherwise(F.concat(F.lit("t:"), text_hash))
+    joined = F.array_join(short, ",")
+    return F.when(joined != "," * (len(parts) - 1), joined).otherwise(F.concat(F.lit("t:"), text_hash))
 
 
 def _joined(terms: Column, word: str, shift: int, mask: int) -> Column:
@@ -72,7 +76,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 def ranged(df: DataFrame, parts: int) -> DataFrame:
     """With a column part: the id's place among quantiles of the ids, so that ids in order are parts in order."""
-    cuts = df.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], 1000).alias("c")).first()["c"] if parts > 1 else []
+    cuts = df.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], max(1000, 20 * parts)).alias("c")).first()["c"] if parts > 1 else []
     cuts = sorted(set(cuts or []))
     part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("id"))) if cuts else F.lit(0)
     return df.withColumn("part", part)
@@ -95,41 +99,43 @@ def successors(df: DataFrame, heads: DataFrame, cols: list[str]) -> DataFrame:
     return led.select(*df.columns, *[got[c].alias(f"next_{c}") for c in cols])
 
 
-def fingerprints(texts: DataFrame, band: DataFrame, keys: list[str]) -> DataFrame:
+def fingerprints(texts: DataFrame, band: DataFrame, keys: list[str], set_terms: int = SET_TERMS) -> DataFrame:
     """(keys, n_chars, text_sha256, fingerprint) of rows (keys, text) with unique keys; band: the lexicon's terms.
 
-    Within SET_TERMS, counted first, each document's terms are filtered in place, without join or shuffle.
+    Within set_terms, counted first, each document's terms are filtered in place, without join or shuffle.
     """
     base = texts.select(*keys, F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), terms_of(F.col("text")).alias("__all"))
-    known = [r["term"] for r in band.limit(SET_TERMS + 1).collect()]
-    if len(known) <= SET_TERMS:
-        own = base.select(*keys, "n_chars", "text_sha256", F.filter("__all", lambda t: t.isin(known or [""])).alias("__own"))
+    known = [r["term"] for r in band.limit(set_terms + 1).collect()]
+    if len(known) <= set_terms:
+        own = base.select(*keys, "n_chars", "text_sha256", "__all", F.filter("__all", lambda t: t.isin(known or [""])).alias("__own"))
     else:
-        each = base.select(*keys, F.explode("__all").alias("term")).join(band, "term").groupBy(*keys).agg(F.collect_list("term").alias("__own"))
-        own = base.drop("__all").join(each, keys, "left").withColumn("__own", F.coalesce("__own", F.array().cast("array<string>")))
-    ready = own.select(*keys, "n_chars", "text_sha256", with_hashes(F.col("__own")).alias("__terms"))
+        slim = base.select(*[k for k in keys if k in ("part", "id")], F.explode("__all").alias("term"))
+        each = slim.join(band, "term").groupBy(*[c for c in slim.columns if c != "term"]).agg(F.collect_list("term").alias("__own"))
+        own = base.join(each, [k for k in keys if k in ("part", "id")], "left").withColumn("__own", F.coalesce("__own", F.array().cast("array<string>")))
+    ready = own.select(*keys, "n_chars", "text_sha256", with_hashes(F.when(F.size("__own") >= LEAST_TERMS, F.col("__own")).otherwise(F.col("__all"))).alias("__terms"))
     return ready.select(*keys, "n_chars", "text_sha256", hashed(F.col("__terms"), F.col("text_sha256")).alias("fingerprint"))
 
 
-def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
+def fingerprint_neighbours(docs: DataFrame, set_terms: int = SET_TERMS) -> DataFrame:
     """Fingerprints of each document and of its edited text, and their likeness; see the columns of the query.
 
     The edited text is the text with its last floor(n/4) code points replaced by the first as many (or all) of the
     next document in ascending doc_id, cyclically. Null texts are empty. A null doc_id sorts first; rows that share a
     doc_id count as one document, the one of least text. Extra columns are not read. An empty table gives no rows.
 
-    Document frequencies come from all documents. Texts are shuffled once, by quantile of doc_id, a key without hot
-    values; both fingerprints are made in the same tasks.
+    Texts of any length are read whole. Ties cannot arise: ids are unique here. Document frequencies come from all
+    documents. Texts are shuffled once, by quantile of doc_id, a key without hot values; both fingerprints are made in
+    the same tasks.
     """
     base = id_and_text(docs)
     terms = written(lexicon(base), "lexicon")
-    placed = ranged(base, even_parts(docs.sparkSession))
+    placed = ranged(base, 4 * even_parts(docs.sparkSession))
     both = successors(placed, placed, ["text"])
     cut = F.floor(F.length("text") / 4).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), F.length("text") - cut), F.substr("next_text", F.lit(1), cut))
     sides = both.select("part", "id", "text", edited.alias("edited"))
-    own = fingerprints(sides, terms, ["part", "id", "edited"]).drop("text_sha256")
-    wide = fingerprints(own.withColumnRenamed("edited", "text").withColumnsRenamed({"n_chars": "n", "fingerprint": "print"}), terms, ["part", "id", "n", "print"])
+    own = fingerprints(sides, terms, ["part", "id", "edited"], set_terms).drop("text_sha256")
+    wide = fingerprints(own.withColumnRenamed("edited", "text").withColumnsRenamed({"n_chars": "n", "fingerprint": "print"}), terms, ["part", "id", "n", "print"], set_terms)
     wide = wide.select("part", "id", F.col("n").alias("n_chars"), F.col("text_sha256").alias("edited_sha256"), F.col("print").alias("fingerprint"), F.col("fingerprint").alias("edited_fingerprint"))
     prints = written(wide, "fingerprints")
     return successors(prints, prints, ["fingerprint"]).select(
