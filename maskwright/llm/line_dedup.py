@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import ascii_lower, id_and_text, public_id
+from maskwright.llm.common import ascii_lower, id_and_text, public_id, written
 
 #: Stripped at both ends of a line.
 BLANKS = " \t\n\x0b\x0c\r"
+#: A key with more than this part of all lines is broadcast, as many keys at most: no task has to take all of its lines.
+HOT_KEYS = 10_000
 
 
 def line_key(line: Column) -> Column:
@@ -25,10 +27,12 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 10) -> Data
     A line's key is the line stripped of ASCII blanks and lower-cased in A-Z. Keys of min_chars code points or more
     that stand in at least min_docs documents stay only in the smallest doc_id that holds them (all of their lines
     there). Null and empty texts are one empty line. A null doc_id is a document that sorts first; rows that share a
-    doc_id count as one document, the one of least text. Extra columns are not read. An empty table gives no rows.
+    doc_id count as one document, the one of least text. Texts of any length are split whole; lines of one key in one
+    document go or stay together. Extra columns are not read. An empty table gives no rows.
 
-    Keys travel as two 64-bit hashes with their document and position; texts are shuffled once, for reassembly.
-    The lines of a frequent key stay spread out: counts combine on the map side and the join back is splittable.
+    Keys travel as two 64-bit hashes with their document and position, written once; texts are shuffled once, for
+    reassembly. Counts combine on the map side. Keys with more than one in HOT_KEYS of all lines, HOT_KEYS at most, are
+    joined by broadcast where their lines lie; the other keys' lines meet by shuffle, a bounded share in each.
     """
     if min_docs < 2:
         raise ValueError("min_docs must be 2 or more")
@@ -39,17 +43,18 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 10) -> Data
         .filter(F.length("key") >= min_chars)
         .select("id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), F.col("key")).alias("h2"))
     )
-    if min_docs == 2:
-        common = lines.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
-    else:
-        each = lines.select("h1", "h2", "id").distinct()
-        common = each.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter(F.col("n") >= min_docs)
-    drops = (
-        lines.join(common.select("h1", "h2", "first"), ["h1", "h2"])
-        .filter(F.col("id") != F.col("first"))
-        .groupBy("id")
-        .agg(F.collect_list("pos").alias("drops"))
-    )
+    lines = written(lines, "lines")
+    sizes = lines.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")).filter("first < last")
+    if min_docs > 2:
+        each = lines.select("h1", "h2", "id").distinct().groupBy("h1", "h2").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs)
+        sizes = sizes.join(each, ["h1", "h2"])
+    common = written(sizes.select("h1", "h2", "first", "n"), "common-lines")
+    hot = F.col("n") > lines.count() / HOT_KEYS
+    often = F.broadcast(common.filter(hot).select("h1", "h2", F.col("first").alias("hot")))
+    marked = lines.join(often, ["h1", "h2"], "left")
+    seldom = marked.filter("hot is null").select("id", "pos", "h1", "h2").join(common.filter(~hot).select("h1", "h2", "first"), ["h1", "h2"])
+    repeats = marked.filter("hot <> id").select("id", "pos").union(seldom.filter("first <> id").select("id", "pos"))
+    drops = repeats.groupBy("id").agg(F.collect_list("pos").alias("drops"))
     split = base.join(drops, "id", "left").withColumn("lines", lines_of(F.col("text")))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drops")), lambda p: F.get(F.col("lines"), p))
     return split.select(
