@@ -80,7 +80,9 @@ def license_scan(docs: DataFrame, threshold: float = THRESHOLD, extra: list[tupl
     cut = F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice(F.col("w"), s + 1, 2 * stride).alias("words")))
     blocks = words.select("id", "n_words", F.explode_outer(F.when(F.col("w").isNotNull(), cut)).alias("b"))
     tokens = blocks.select("id", "n_words", "b", F.array_intersect(_strings(order), F.col("b.words")).alias("have"))
-    probes = tokens.select("id", "n_words", "b", "have", F.posexplode_outer("have").alias("j", "token"))
+    # only a template's rarest words are in the index, so only those of a block are looked up there
+    placed = F.transform("have", lambda w, j: F.struct(j.alias("j"), w.alias("token")))
+    probes = tokens.select("id", "n_words", "b", "have", F.explode_outer(F.filter(placed, lambda x: x["token"].isin(rare))).alias("x")).select("id", "n_words", "b", "have", "x.j", "x.token")
     joined = probes.join(F.broadcast(prefix), "token", "left")
     fits = 1 + F.least(F.col("n") - F.col("i") - 1, F.size("have") - F.col("j") - 1) >= F.col("need")
     shared = F.size(F.array_intersect("tokens", "have"))
