@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.llm.common import table
+from maskwright.llm.oracle_sql import ORACLE_SQL  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -95,5 +96,3 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_fingerprints, op2_line_dedup, op3_language_id, op4_near_dedup, op5_packing, op6_pii, op7_license_scan, op8_decontamination, op9_lm_scoring, op10_html_extraction)}
-
-ORACLE_SQL: dict[str, str] = {}
