@@ -5,48 +5,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import table, unique_rows, written
+from maskwright.llm.common import id_and_text, row_id, table, unique_rows, written
 from maskwright.llm.decontaminate import contamination, without_spans
 from maskwright.llm.language_id import UNKNOWN, language_of, learn
 from maskwright.llm.line_dedup import dedup_lines
-from maskwright.llm.near_dedup import near_duplicates
+from maskwright.llm.near_dedup import near_classes
 from maskwright.llm.packing import pack
 
 #: A language is rejected under this pooled probability; mixed documents of two known languages lie above it.
 LEAST_SCORE = 0.35
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """(id, row): one row for each document, all of its columns in one, so that no name of theirs can clash."""
+    return unique_rows(docs).select(row_id().alias("id"), F.struct(*docs.columns).alias("row"))
+
+
 def _retexted(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The columns of docs for the documents in texts (doc_id, text), with that text and its length as n_chars."""
-    new = texts.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
-    own = unique_rows(docs).drop("text")
-    joined = own.join(new, own["doc_id"].eqNullSafe(new["__id"]))
-    made = {"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}
-    return joined.select(*[made[c].alias(c) if c in made else F.col(c) for c in docs.columns])
+    """The columns of docs for the documents in texts (id, new), with that text and its length as n_chars."""
+    joined = _packed(docs).join(texts, "id")
+    made = {"text": F.col("new"), "n_chars": F.length("new").cast("long")}
+    return joined.select(*[made.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the network knows; rows stay as and where they are."""
+    """Documents in a language that the network knows; rows stay as and where they are, repeated ones too.
+
+    Texts that are null, empty or without a letter are in none and go. An empty table stays empty.
+    """
     model = spark.sparkContext.broadcast(learn(docs))
-    found = docs.withColumn("__language", language_of(model, F.col("text")))
-    return found.filter((F.col("__language.lang_pred") != UNKNOWN) & (F.col("__language.score") >= LEAST_SCORE)).drop("__language")
+    found = docs.select(F.struct(*docs.columns).alias("row"), language_of(model, F.col("text")).alias("language"))
+    return found.filter((F.col("language.lang_pred") != UNKNOWN) & (F.col("language.score") >= LEAST_SCORE)).select("row.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier document holds."""
-    return _retexted(docs, dedup_lines(docs).select("doc_id", F.col("kept_text").alias("text")))
+    """Documents without the lines that an earlier document holds; documents that lose all lines stay, empty.
+
+    Of rows that share a doc_id the one of least text stays; rows without one are documents of their own by their text.
+    """
+    return _retexted(docs, dedup_lines(docs).select(row_id().alias("id"), F.col("kept_text").alias("new")))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each class of near copies."""
-    kept = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id"))
-    return unique_rows(docs).join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """The document of least doc_id of each class of near copies (without ids: the class's least row_id())."""
+    kept = near_classes(id_and_text(docs)).filter(F.col("id") == F.col("class")).select("id")
+    return _packed(docs).join(kept, "id", "left_semi").select("row.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with windows of two benchmark items go; of one item, the hit words are cut out of the text."""
     out = contamination(docs, table(spark, sf_dir, "benchmark")).filter(F.size("items") < 2)
-    return _retexted(docs, out.select("doc_id", without_spans(F.col("text"), F.col("spans")).alias("text")))
+    return _retexted(docs, out.select(row_id().alias("id"), without_spans(F.col("text"), F.col("spans")).alias("new")))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
