@@ -125,9 +125,9 @@ def resolve_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").select("lang", "text")
-    each = findings(docs, Engine().with_recognizers(R.EMAIL), keep=("lang",))
-    return each.groupBy("lang", "entity").agg(F.count("*").alias("n"), F.sum(F.octet_length("match")).cast("long").alias("bytes"))
+    """What all rules find, by language and entity, with the totals of each language and of all."""
+    each = findings(_read(spark, sf_dir, "documents").select("lang", "text"), keep=("lang",))
+    return each.rollup("lang", "entity").agg(F.count("*").alias("n"), F.sum(F.octet_length("match")).cast("long").alias("bytes"))
 
 
 def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,7 +262,7 @@ ORACLE_SQL = {
     "strategy_hash": f"select c_custkey as id, concat('mail ', left(sha256({_MAIL}), 8), ' tel ', left(sha256({_TEL}), 8)) as masked from customer",
     "entropy_secrets": f"with t as (select c_custkey as id, substring(md5(c_name), 1, 10) as w from customer) select id, case when {_ENTROPY} >= 3.0 - 1e-9 then 'password=[SECRET_1]' else concat('password=', w) end as masked from t",
     "resolve_overlaps": f"with t as ({_IDS}) select id, case when {S.IDCARD} then 'IDCARD' else 'BANKCARD' end as entity, cast(3 as bigint) as start, cast(21 as bigint) as stop from t where {S.IDCARD} or {S.LUHN}",
-    "entity_report": f"select lang, entity, count(*) as n, cast(sum(strlen(match)) as bigint) as bytes from ({_finder_sql('documents', R.EMAIL)}) f join documents d on d.doc_id = f.id group by lang, entity",
+    "entity_report": f"{S.findings(_DOCS, Engine())} select lang, ent as entity, count(*) as n, cast(sum(strlen(v)) as bigint) as bytes from kept k join documents d on d.doc_id = k.id group by rollup (lang, ent)",
     "anonymize_sessions": f"select c_nationkey as session, c_custkey as call, concat('mail [EMAIL_', {_RN}, '] tel [PHONE_', {_RN}, ']') as masked from customer",
     "anonymize_repeats": "select o_custkey as session, o_orderkey as call, 'mail [EMAIL_1] tel [PHONE_1]' as masked from orders",
     "mapping_table": f"with t as (select c_nationkey as session, {_RN} as rn, {_MAIL} as mail, {_TEL} as tel from customer) select session, concat('[EMAIL_', rn, ']') as placeholder, 'EMAIL' as entity, mail as plaintext from t union all select session, concat('[PHONE_', rn, ']'), 'PHONE', tel from t",

@@ -49,6 +49,12 @@ def test_findings_of_functions_are_held_against_the_text(spark, wrong, why):
         mask(texts(spark, "abc"), found(**wrong)).collect()
 
 
+def test_many_keyword_matches_end_in_an_error(spark):
+    rows = texts(spark, "a" * (1 << 20), "aaa", "a" * 6000)
+    got = [(r["masked"], r["error"]) for r in mask(rows, Engine().with_recognizers().with_keywords("a", "aa")).orderBy("id").collect()]
+    assert got[0] == (None, "LimitExceeded") and got[1] == ("[KEYWORD_1][KEYWORD_2]", None) and got[2][1] is None and got[2][0].endswith("[KEYWORD_3000]")
+
+
 def test_a_span_inside_a_character_is_invalid(spark):
     with pytest.raises(Exception, match="InvalidFinding"):
         mask(texts(spark, "中"), found(start=1, end=3, text="x")).collect()
