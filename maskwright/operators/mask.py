@@ -70,30 +70,37 @@ def _located(gaps: Column, whole: Column, own: Column, rule: Rule, index: int, o
 
 def with_candidates(df: DataFrame, text: str, engine: Engine) -> DataFrame:
     """Adds __candidates (in recognizer order) and __raw_over, whether a recognizer or the text has too many."""
-    found, raw = [], []
-    out = df
-    for order, (index, rule) in enumerate(engine.plan()):
+    plan = list(enumerate(engine.plan()))
+    # three projections, whatever the number of rules: matches, the texts between them, candidates
+    matches, gaps, found, raw = [], [], [], []
+    for order, (index, rule) in plan:
         name = f"__r{order}"
+        raw.append(F.size(f"{name}_m"))
+        found.append(F.col(name))
         if isinstance(rule, Rule):
             compiled(df, rule)
             likely = F.lit(True) if rule.likely is None else rule.likely(F.col(text))
             hits = lambda g, rule=rule: F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(g))
-            out = out.withColumn(f"{name}_m", F.when(likely, hits(0)).otherwise(_none("array<string>")))
+            matches.append(F.when(likely, hits(0)).otherwise(_none("array<string>")).alias(f"{name}_m"))
             some = F.size(f"{name}_m") > 0
-            out = out.withColumn(f"{name}_g", F.when(some, F.split(text, rule.pattern, -1)))
-            own = F.col(f"{name}_m")
+            gaps.append(F.when(some, F.split(text, rule.pattern, -1)).alias(f"{name}_g"))
             if rule.group:
-                out = out.withColumn(f"{name}_o", F.when(some, hits(rule.group)))
-                own = F.col(f"{name}_o")
-            raw.append(F.size(f"{name}_m"))
-            empty = F.exists(f"{name}_m", lambda m: m == "")
-            out = out.withColumn(name, F.when(empty, F.raise_error(F.lit(f"InvalidFinding: {rule.name}: empty match")).cast(CANDIDATES)).when(raw[-1] > MAX_CANDIDATES, _none(CANDIDATES)).otherwise(_located(F.col(f"{name}_g"), F.col(f"{name}_m"), own, rule, index, order)))
+                gaps.append(F.when(some, hits(rule.group)).alias(f"{name}_o"))
         else:
             given = F.coalesce(rule.find(F.col(text)), _none("array<struct<entity:string,start:int,end:int,score:double,text:string>>"))
-            out = out.withColumn(f"{name}_m", given)
-            raw.append(F.size(f"{name}_m"))
-            out = out.withColumn(name, F.transform(f"{name}_m", _checked(F.col(text), index, order, engine)))
-        found.append(F.col(name))
+            matches.append(given.alias(f"{name}_m"))
+    candidates = []
+    for order, (index, rule) in plan:
+        name = f"__r{order}"
+        if isinstance(rule, Rule):
+            own = F.col(f"{name}_o" if rule.group else f"{name}_m")
+            empty = F.raise_error(F.lit(f"InvalidFinding: {rule.name}: empty match")).cast(CANDIDATES)
+            made = F.when(F.exists(f"{name}_m", lambda m: m == ""), empty).when(F.size(f"{name}_m") > MAX_CANDIDATES, _none(CANDIDATES)).otherwise(_located(F.col(f"{name}_g"), F.col(f"{name}_m"), own, rule, index, order))
+        else:
+            made = F.transform(f"{name}_m", _checked(F.col(text), index, order, engine))
+        candidates.append(made.alias(name))
+    out = df.select(*df.columns, *matches)
+    out = out.select("*", *gaps).select("*", *candidates)
     every = F.concat(*found) if found else _none(CANDIDATES)
     over = [r > MAX_CANDIDATES for r in raw] + [F.size(every) > MAX_CANDIDATES]
     any_over = over[0]

@@ -14,6 +14,7 @@ ENTROPY = f"list_sum(list_transform(list_distinct({_BYTES}), lambda b: -(len(lis
 PREDICATES = {"bank_card": LUHN, "china_idcard": IDCARD, "us_ssn": SSN, "entropy_password": f"coalesce({ENTROPY}, false)"}
 #: Patterns that need another form there, for want of lookaround and back references.
 PATTERNS = {
+    "email": R.EMAIL_PATTERN,
     "ip": rf"\b{R._SEG}(?:\.{R._SEG}){{3}}\b",
     "private_key": "|".join(rf"-----BEGIN {f}-----[\s\S]*?-----END {f}-----" for f in R._FENCES.split("|")),
 }

@@ -81,7 +81,7 @@ _FINDERS = {
     "find_intl_phone": ("order_intl", R.INTL_PHONE),
 }
 _PREDICATES = {"find_bankcard_luhn": S.LUHN, "find_ssn": S.SSN, "find_idcard": S.IDCARD}
-_PATTERNS = {"find_ip": S.PATTERNS["ip"]}
+_PATTERNS = {"find_ip": S.PATTERNS["ip"], "find_email": S.PATTERNS["email"]}
 
 
 _FEW = Engine().with_recognizers().with_keywords("License", "the MIT", "the MIT License")
