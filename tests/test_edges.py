@@ -113,7 +113,7 @@ def test_random_texts_against_plain_python(spark):
 
     def plain(text):
         spans = []
-        for k, (p, edge, score) in enumerate([(R.EMAIL.pattern, False, 0.9), (R.INTL_PHONE.pattern, True, 0.8), (R.CHINA_PHONE.pattern, True, 0.7)]):
+        for k, (p, edge, score) in enumerate([(R.EMAIL_PATTERN, False, 0.9), (R.INTL_PHONE.pattern, True, 0.8), (R.CHINA_PHONE.pattern, True, 0.7)]):
             for m in re.finditer(p, text, re.ASCII):
                 near = text[max(m.start() - 1, 0) : m.start()] + text[m.end() : m.end() + 1]
                 if not (edge and re.search("[0-9]", near)):
