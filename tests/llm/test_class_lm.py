@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from maskwright.llm.class_lm import exchange, own_words, score_documents, word_classes
+from maskwright.llm.class_lm import Model, exchange, own_words, score_documents, word_classes
 
 
 def rows_of(spark, spell):
@@ -53,3 +53,24 @@ def test_sizes_grow_and_sweeps_end():
             moved = of.copy()
             moved[i] = b
             assert likelihood(moved) <= likelihood(of) + 1e-6
+
+
+def test_probabilities_sum_to_one():
+    """Transitions from each class, and emissions of each class with its one unseen word."""
+    rng = np.random.default_rng(2)
+    counts = [rng.integers(1, 9, k) for k in (5, 3, 1)]
+    m = rng.integers(0, 4, (3, 3)).astype(float)
+    m *= 1.0
+    for c, own in enumerate(counts):  # a class is entered as often as its words stand
+        m[:, c] *= own.sum() / max(m[:, c].sum(), 1)
+        m[0, c] += own.sum() - m[:, c].sum()
+    model = Model(m, np.array([len(own) for own in counts]), 0, 0, 0)
+    assert np.allclose((10**model.transition).sum(1), 1)
+    for c, own in enumerate(counts):
+        assert np.isclose((own + 0.5).sum() / model.emission[c] + 0.5 / model.emission[c], 1)
+
+
+def test_held_out_texts_gain_from_classes(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r = score_documents(docs).filter("held_out").selectExpr("sum(score) as s", "sum(base_score) as b", "sum(n_tokens) as n").first()
+    assert (r["s"] - r["b"]) / r["n"] > 0.1
