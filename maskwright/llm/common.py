@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NULL_ID, NULL_IDS = -(2**63), 2**60
 
 
+#: Bytes of an Arrow batch, and the setting.
+BATCH_BYTES, _BATCH_CONF = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -29,6 +35,13 @@ def words_of(c: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(c), F.lit(WORD_PATTERN), F.lit(0))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session have at most BATCH_BYTES, so that what executors and Python workers hold of long
+    texts has a bound; Spark's own bound is in rows."""
+    if int(spark.conf.get(_BATCH_CONF, "64m").rstrip("bkmgBKMG") or 0) != BATCH_BYTES:
+        spark.conf.set(_BATCH_CONF, f"{BATCH_BYTES}b")
+
+
 def row_id(id_col: str = "doc_id", text_col: str = "text") -> Column:
     """The number that a row has inside the operators: its id or, without one, a number by its text."""
     by_text = F.lit(NULL_ID) + F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), 4)
@@ -51,6 +64,7 @@ def unique_rows(df: DataFrame, id_col: str = "doc_id", by: str = "text") -> Data
 
 def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text) with unique non-null ids and non-null texts; other columns, whatever their names, are left behind."""
+    small_batches(df.sparkSession)
     pairs = unique_rows(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
     return pairs.select(row_id().alias("id"), F.coalesce("text", F.lit("")).alias("text"))
 
@@ -68,11 +82,39 @@ def held_out(share: int) -> Column:
     return F.crc32(F.when(without_id(), F.lit("")).otherwise(F.col("id").cast("string"))) % share == 1
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, read from a table in the shared folder: lineage ends there and survives lost executors."""
+#: Rows of a small table that one task writes, where their number is known to be small before.
+TASK_ROWS = 20_000
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """The same rows, read from a table in the shared folder: lineage ends there and survives lost executors.
+
+    rows: a bound on their number, if one is known: a table of few rows is written by few tasks.
+    """
+    if rows is not None and rows // TASK_ROWS + 1 < even_parts(df.sparkSession):
+        df = df.coalesce(rows // TASK_ROWS + 1)
     return shared_table(df, name)
 
 
+#: A key with more than this part of all rows is joined by broadcast, as many keys at most.
+HOT_KEYS = 10_000
+
+
+def joined_by_key(rows: DataFrame, values: DataFrame, keys: list[str], total: int, parts: int | None = None) -> DataFrame:
+    """rows with the columns of values (keys, n, more), where n is the number of rows of a key, total that of all rows.
+
+    Rows of a key with more than one in `parts` of all rows are joined where they lie; the others meet by shuffle, so no
+    task takes more of one key than that. Rows without a value go. Both tables are read twice.
+    """
+    hot = F.col("n") > total / (parts or HOT_KEYS)
+    more = [c for c in values.columns if c not in (*keys, "n")]
+    often = F.broadcast(values.filter(hot).select(*keys, F.struct(*more).alias("__often")))
+    marked = rows.join(often, keys, "left")
+    there = marked.filter("__often is not null").select(*rows.columns, "__often.*")
+    seldom = marked.filter("__often is null").select(*rows.columns).join(values.filter(~hot).select(*keys, *more), keys)
+    return there.unionByName(seldom.select(*there.columns))
+
+
 def even_parts(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
@@ -156,6 +198,17 @@ def token_block(texts: list[bytes]) -> Block:
     return Block(texts, _TOKEN_BYTE)
 
 
+def released_memory() -> None:
+    """Gives what a Python worker has freed back to the system: it lives on for other operators' tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def ranges_of(sizes, limit: int = BLOCK_BYTES):
     """Ranges [a, b) of texts with at most limit bytes together, or of a single text."""
     a, held = 0, 0
@@ -173,10 +226,13 @@ def text_blocks(batches, column: str = "text", limit: int = BLOCK_BYTES):
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    for batch in batches:
-        texts = batch.column(column)
-        sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
-        for a, b in ranges_of(sizes, limit):
-            rows = batch.slice(a, b - a)
-            own = rows.column(column)
-            yield rows, [x or b"" for x in own.cast(pa.large_binary() if pa.types.is_large_string(own.type) else pa.binary()).to_pylist()]
+    try:
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+            for a, b in ranges_of(sizes, limit):
+                rows = batch.slice(a, b - a)
+                own = rows.column(column)
+                yield rows, [x or b"" for x in own.cast(pa.large_binary() if pa.types.is_large_string(own.type) else pa.binary()).to_pylist()]
+            del batch
+    finally:
+        released_memory()

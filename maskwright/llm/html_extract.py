@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import text_blocks
+from maskwright.llm.common import small_batches, text_blocks
 
 _TAG = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*>?)",
@@ -319,5 +319,6 @@ def extract(pages: DataFrame) -> DataFrame:
     null or empty html, or one without an article, gives an empty text. Long and deeply nested pages take time in
     proportion to their tags. Extra columns are not read. No shuffle.
     """
+    small_batches(pages.sparkSession)
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return own.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from maskwright.llm.common import held_out, id_and_text, public_id, row_id, text_blocks, unique_rows
+from maskwright.llm.common import held_out, id_and_text, public_id, row_id, small_batches, text_blocks, unique_rows
 
 #: Units a direction, bytes of a window, windows that run side by side.
 UNITS, WINDOW, LANES = 12, 128, 1024
@@ -174,17 +174,18 @@ class Network:
 
 def learn(docs: DataFrame, share: int = 3) -> Network:
     """Fits the network on a bounded sample of the labelled rows whose crc32(doc_id as text) mod share is not 1."""
+    small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     own = unique_rows(own).withColumn("id", row_id())
     rows = own.filter("lang is not null and text is not null").filter(~held_out(share))
     mark = F.xxhash64("id")
-    # of a language with many documents, those whose hash lies under a bound that leaves four times the sample
+    # the first by hash lie under a bound that leaves twice the sample of each language: only these meet in a task
+    mark = F.shiftrightunsigned(mark, 2)
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    many = {k: int(2**62 * 4 * PER_LANGUAGE / n) for k, n in sizes.items() if n > 8 * PER_LANGUAGE}
-    if many:
-        bound = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
-        rows = rows.filter(F.coalesce(F.shiftrightunsigned(mark, 2) < F.try_element_at(bound, F.col("lang")), F.lit(True)))
-    at = F.pmod(mark, F.greatest(F.length("text") - SNIPPET, F.lit(1)))
+    if sizes:
+        bound = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(2**62, int(2**62 * (2 * PER_LANGUAGE / n))))])
+        rows = rows.filter(mark < F.try_element_at(bound, F.col("lang")))
+    at = F.pmod(F.xxhash64("id"), F.greatest(F.length("text") - SNIPPET, F.lit(1)))
     snippets = rows.select("lang", mark.alias("mark"), "id", F.substr("text", (at + 1).cast("int"), F.lit(SNIPPET)).alias("text"))
     first = snippets.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("mark", "id"))).filter(F.col("place") <= PER_LANGUAGE)
     sample = sorted((r["lang"], r["place"], r["text"]) for r in first.select("lang", "place", "text").collect())

@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import ascii_lower, id_and_text, public_id, written
+from maskwright.llm.common import ascii_lower, id_and_text, joined_by_key, public_id, written
 
 #: Stripped at both ends of a line.
 BLANKS = " \t\n\x0b\x0c\r"
-#: A key with more than this part of all lines is broadcast, as many keys at most: no task has to take all of its lines.
-HOT_KEYS = 10_000
 
 
 def line_key(line: Column) -> Column:
@@ -31,8 +29,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 10) -> Data
     document go or stay together. Extra columns are not read. An empty table gives no rows.
 
     Keys travel as two 64-bit hashes with their document and position, written once; texts are shuffled once, for
-    reassembly. Counts combine on the map side. Keys with more than one in HOT_KEYS of all lines, HOT_KEYS at most, are
-    joined by broadcast where their lines lie; the other keys' lines meet by shuffle, a bounded share in each.
+    reassembly. Counts combine on the map side; the join back is joined_by_key(), so no task takes all lines of a key.
     """
     if min_docs < 2:
         raise ValueError("min_docs must be 2 or more")
@@ -49,11 +46,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 10) -> Data
         each = lines.select("h1", "h2", "id").distinct().groupBy("h1", "h2").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs)
         sizes = sizes.join(each, ["h1", "h2"])
     common = written(sizes.select("h1", "h2", "first", "n"), "common-lines")
-    hot = F.col("n") > lines.count() / HOT_KEYS
-    often = F.broadcast(common.filter(hot).select("h1", "h2", F.col("first").alias("hot")))
-    marked = lines.join(often, ["h1", "h2"], "left")
-    seldom = marked.filter("hot is null").select("id", "pos", "h1", "h2").join(common.filter(~hot).select("h1", "h2", "first"), ["h1", "h2"])
-    repeats = marked.filter("hot <> id").select("id", "pos").union(seldom.filter("first <> id").select("id", "pos"))
+    repeats = joined_by_key(lines, common, ["h1", "h2"], lines.count()).filter("first <> id")
     drops = repeats.groupBy("id").agg(F.collect_list("pos").alias("drops"))
     split = base.join(drops, "id", "left").withColumn("lines", lines_of(F.col("text")))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drops")), lambda p: F.get(F.col("lines"), p))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from maskwright.llm.common import Block, dropped, id_and_text, mixed, public_id, released, text_blocks, written
+from maskwright.llm.common import Block, dropped, id_and_text, joined_by_key, mixed, public_id, released, text_blocks, written
 from maskwright.llm.decontaminate import gram_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -171,14 +171,14 @@ def classes(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     empty = links.select(F.col("a").alias("id"), F.col("a").alias("class")).limit(0)
     known = empty if known is None else known
     of = lambda rows, c: rows.join(known.select(F.col("id").alias(c), F.col("class").alias("__c")), c, "left").withColumn(c, F.coalesce("__c", c)).drop("__c")
-    between = lambda rows: written(rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "links")
-    edges, steps = between(of(of(links.select("a", "b"), "a"), "b")), []
-    while not edges.isEmpty():
+    between = lambda rows, n: written(rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "links", n)
+    edges, steps = between(of(of(links.select("a", "b"), "a"), "b"), links.count()), []
+    while n := edges.count():
         both = edges.union(edges.select("b", "a"))
-        up = written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("up")), "labels")
+        up = written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("up")), "labels", 2 * n)
         while True:
             top = up.select(F.col("id").alias("up"), F.col("up").alias("top"))
-            next_ = written(up.join(top, "up").select("id", F.col("top").alias("up"), (F.col("up") != F.col("top")).alias("moved")), "labels")
+            next_ = written(up.join(top, "up").select("id", F.col("top").alias("up"), (F.col("up") != F.col("top")).alias("moved")), "labels", 2 * n)
             dropped(up)
             up = next_.drop("moved")
             up.shared_path = next_.shared_path
@@ -186,14 +186,15 @@ def classes(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
                 break
         steps.append(up)
         ends = edges.join(up.select(F.col("id").alias("a"), F.col("up").alias("x")), "a").join(up.select(F.col("id").alias("b"), F.col("up").alias("y")), "b")
-        last, edges = edges, between(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        last, edges = edges, between(ends.select(F.col("x").alias("a"), F.col("y").alias("b")), n)
         dropped(last)
     if not steps:
         return known
+    bound = known.count() + steps[0].count()
     labels = known.unionByName(steps[0].select("id", F.col("id").alias("class")).join(known.select("id"), "id", "left_anti"))
     for step in steps:
         labels = labels.join(step.select(F.col("id").alias("class"), "up"), "class", "left").select("id", F.coalesce("up", "class").alias("class"))
-    out = written(labels, "labels")
+    out = written(labels, "labels", bound)
     dropped(*steps)
     return out
 
@@ -318,8 +319,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 def near_classes(base: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(id, class) of rows (id, text) from id_and_text(); see near_duplicates()."""
     bands = written(base.mapInArrow(_sketch, SKETCH), "sketch")
-    heads = bands.groupBy("k1", "k2").agg(F.min("id").alias("head"))
-    members = written(bands.select("id", "k1", "k2").join(heads, ["k1", "k2"]).select("id", "head"), "members")
+    heads = written(bands.groupBy("k1", "k2").agg(F.min("id").alias("head"), F.count("*").alias("n")), "heads")
+    keyed = bands.select("id", "k1", "k2")
+    members = written(joined_by_key(keyed, heads, ["k1", "k2"], keyed.count()).select("id", "head"), "members")
+    dropped(heads)
     own = members.filter("id = head").select("id")
     reach = 1 - similarity + 1e-9
     banded = bands.select("id", F.explode("bands").alias("bucket")).join(own, "id", "left_semi")
@@ -331,7 +334,7 @@ def near_classes(base: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     classed = lambda rows, c, out: rows.join(labels.select(F.col("id").alias(c), F.col("class").alias("__c")), c, "left").withColumn(out, F.coalesce("__c", c)).drop("__c")
     # what a bucket's leader leaves open: members of other classes than its own, and those that are near enough to one
     # of them by the distances
-    known = written(classed(classed(rest, "lead", "own"), "id", "class").select("bucket", "id", "d", (F.col("own") != F.col("class")).alias("other")), "known")
+    known = written(classed(classed(rest, "lead", "own"), "id", "class").select("bucket", "id", "d", (F.col("own") != F.col("class")).alias("other")), "known", rest.count())
     least = known.filter("other").groupBy("bucket").agg(F.min("d").alias("least"))
     open_ = known.join(least, "bucket").filter(F.col("other") | (F.col("d") >= F.col("least") - reach)).select("id").distinct()
     # all that follows is about the open ones: their sketches are shuffled, not everyone's
@@ -345,28 +348,29 @@ def near_classes(base: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     labels = classes(links(found), labels)
     apart = classed(classed(rest, "lead", "own"), "id", "class").filter(F.col("own") != F.col("class"))
     rest = rest.drop("lead")
-    free, led, leaders = written(apart.select(*rest.columns), "free"), None, LEADERS
+    most = rest.count()
+    free, led, leaders = written(apart.select(*rest.columns), "free", most), None, LEADERS
     other = lambda rows, *more: rows.select("bucket", F.col("id").alias("lead"), *[F.col(c).alias(f"l{c}") for c in ("d", "left", "alone", "least", "head", *more)])
     meet = (F.abs(F.col("d") - F.col("ld")) <= reach) & may_be_alike(similarity)
     while not free.isEmpty():
         one = W.partitionBy("bucket", "class").orderBy(F.desc("score"), "id")
         some = W.partitionBy("bucket").orderBy(F.desc("score"), "id")
         first = classed(free, "id", "class").withColumn("__n", F.row_number().over(one)).filter("__n = 1")
-        lead = written(first.withColumn("__n", F.row_number().over(some)).filter(F.col("__n") <= leaders).drop("__n", "class"), "leaders")
+        lead = written(first.withColumn("__n", F.row_number().over(some)).filter(F.col("__n") <= leaders).drop("__n", "class"), "leaders", most)
         pairs = rest.join(other(lead), "bucket").filter((F.col("id") != F.col("lead")) & meet).select("lead", "id")
         asked = written(classed(classed(pairs, "lead", "c1"), "id", "c2").filter("c1 <> c2").select("lead", "id"), "asked")
         new = compared(asked, sketch, found)
         found, labels = found.unionByName(new), classes(links(new), labels)
         led = lead if led is None else led.unionByName(lead)
         done = classed(led.select("bucket", "id"), "id", "class").select("bucket", "class").distinct()
-        last, free = free, written(classed(free, "id", "class").join(done, ["bucket", "class"], "left_anti").drop("class"), "free")
+        last, free = free, written(classed(free, "id", "class").join(done, ["bucket", "class"], "left_anti").drop("class"), "free", most)
         dropped(asked, last)
         leaders *= GROWTH
     # members that never led may be linked though they are in different classes
     kept = rest if led is None else rest.join(led.select("bucket", "id"), ["bucket", "id"], "left_anti")
-    kept = written(classed(kept, "id", "class"), "covered")
+    kept = written(classed(kept, "id", "class"), "covered", most)
     several = kept.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("bucket")
-    split = written(kept.join(several, "bucket"), "split")
+    split = written(kept.join(several, "bucket"), "split", most)
     missed = split.join(other(split, "class"), "bucket").filter((F.col("class") < F.col("lclass")) & meet).select("lead", "id")
     late = compared(missed, sketch, found)
     labels = classes(links(late), labels)

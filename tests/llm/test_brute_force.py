@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-import maskwright.llm.line_dedup as line_dedup
+import maskwright.llm.common as common
 import maskwright.llm.near_dedup as near_dedup
 from maskwright.llm.decontaminate import contamination, without_spans
 from maskwright.llm.fingerprints import fingerprint_neighbours
@@ -95,6 +95,7 @@ def corpus(seed, groups=14, copies=9):
 def test_near_duplicates_are_those_of_all_pairs(spark, monkeypatch, seed, leaders):
     monkeypatch.setattr(near_dedup, "LEADERS", leaders)
     monkeypatch.setattr(near_dedup, "GROWTH", 2)
+    monkeypatch.setattr(common, "HOT_KEYS", 40)
     rows = corpus(seed)
     got = {r["doc_id"]: r["class_id"] for r in near_duplicates(frame(spark, rows)).collect()}
     assert got == classes_by_all_pairs(rows)
@@ -156,7 +157,7 @@ def test_hot_lines_are_joined_as_the_others(spark, monkeypatch):
     rng = random.Random(3)
     rows = [(i, "\n".join(rng.choice(["the very same line", "a line of its own %d" % i, "another common line", "short", "line %d repeated" % (i % 7)]) for _ in range(6))) for i in range(120)]
     want = {r["doc_id"]: (r["kept_text"], r["n_dropped"]) for r in dedup_lines(frame(spark, rows)).collect()}
-    monkeypatch.setattr(line_dedup, "HOT_KEYS", 5)
+    monkeypatch.setattr(common, "HOT_KEYS", 5)
     got = {r["doc_id"]: (r["kept_text"], r["n_dropped"]) for r in dedup_lines(frame(spark, rows)).collect()}
     assert got == want == plain_lines(rows)
 
