@@ -289,7 +289,7 @@ def fitted(base: DataFrame) -> dict[str, tuple[list, float, float, float]]:
     spark = base.sparkSession
     at = F.pmod(F.xxhash64("id"), F.greatest(F.length("text") - CARRIER_CHARS, F.lit(1)))
     piece = F.substr("text", (at + 1).cast("int"), F.lit(CARRIER_CHARS)).alias("piece")
-    held = base.filter("text <> ''").orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(CARRIERS).select(piece).collect()
+    held = base.filter("text <> ''").select(F.xxhash64(F.lit(3), "id").alias("mark"), "id", piece).orderBy("mark", "id").limit(CARRIERS).collect()
     carriers = sorted(r["piece"] for r in held) or [""]
     sample = spark.createDataFrame(labelled_sample(carriers), "kind string, match string, before string, after string, label int")
     of = features(F.col("match"), F.col("before"), F.col("after"))
