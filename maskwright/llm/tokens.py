@@ -13,7 +13,7 @@ _SIGNS = "¡¿«»§°·–—‘’“”„…€"
 _SIMPLE = re.compile(f"[\t-\r -~À-Ö{_LETTERS[3:]}Ø-Þ{_SIGNS}]*")
 _PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\t-\r {_LETTERS}0-9]+")
 #: Words kept; the cache starts anew when it is full.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 
 
 class WordIds:
