@@ -9,14 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import NULL_ID, blocks_of, bytes_of, id_and_text, mixed, public_id, token_block, written
+from maskwright.llm.common import dropped, held_out, id_and_text, mixed, public_id, released, released_memory, text_blocks, token_block, written
 
 #: Word classes, and words that the exchange moves one by one, of a small vocabulary; both grow with it.
 LEAST_CLASSES, LEAST_OWN = 31, 600
 #: Most frequent words whose counts and classes are broadcast; those of the rest are joined by shuffle.
 BROADCAST_WORDS = 1 << 18
 #: Entries that a task gathers before it hands them on.
-GATHERED = 1 << 20
+GATHERED = 1 << 18
 #: Steps of a nat in which contexts are weighed: sums of whole numbers do not depend on their order.
 STEPS = 1 << 16
 
@@ -66,19 +66,19 @@ class Gathered:
 
 
 def _blocks(batches):
-    """(batch, first and last text, token block) of all texts."""
-    for batch in batches:
-        texts = bytes_of(batch.column("text"))
-        for a, b in blocks_of(texts):
-            yield batch, a, b, token_block(texts[a:b])
+    """(rows, number of texts, token block) of all texts."""
+    for rows, texts in text_blocks(batches):
+        yield rows, len(texts), token_block(texts)
 
 
 def _count(batches):
     words = Gathered()
     row = lambda x: pa.RecordBatch.from_arrays([pa.array(x[0].view(np.int64)), pa.array(x[1])], ["h", "n"])
-    for _, _, _, block in _blocks(batches):
+    for _, _, block in _blocks(batches):
         yield from map(row, words.add(block.hashes, np.ones(len(block.hashes), np.int64)))
     yield from map(row, words.rest())
+    del words
+    released_memory()
 
 
 class Vocabulary:
@@ -125,8 +125,8 @@ def _pairs(vocabulary):
     def gather(batches):
         words, pairs = vocabulary.value, Gathered()
         row = lambda x: pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1])], ["code", "n"])
-        for _, a, b, block in _blocks(batches):
-            line, _, _ = sequences(block, words.look(block)[1], b - a, words.end)
+        for _, texts, block in _blocks(batches):
+            line, _, _ = sequences(block, words.look(block)[1], texts, words.end)
             code = line[:-1] * (words.rest + 1) + line[1:]
             yield from map(row, pairs.add(code, np.ones(len(code), np.int64)))
         yield from map(row, pairs.rest())
@@ -209,10 +209,10 @@ def _neighbours(vocabulary, learned: bool):
         size = words.rest + 1
         total = np.zeros(size * size, np.int64)
         row = lambda x: rows(len(x[0]), h=x[2].view(np.int64), key=x[3].astype(np.int32), n=x[1])
-        for batch, a, b, block in _blocks(batches):
-            ids, train = batch.column("id").to_numpy()[a:b], batch.column("train").to_numpy(zero_copy_only=False)[a:b]
+        for batch, texts, block in _blocks(batches):
+            ids, train = batch.column("id").to_numpy(), batch.column("train").to_numpy(zero_copy_only=False)
             count, numbers = words.look(block)
-            line, text, at = sequences(block, numbers, b - a, words.end)
+            line, text, at = sequences(block, numbers, texts, words.end)
             open_ = (count >= 0) & (numbers == words.rest) if learned else count < 0
             own = np.flatnonzero(open_ & train[block.doc])
             hs = np.tile(block.hashes[own], 2)
@@ -228,6 +228,8 @@ def _neighbours(vocabulary, learned: bool):
                 first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (hs[1:] != hs[:-1])])) if len(order) else order
                 yield rows(len(first), id=ids[d[first]], h=hs[first].view(np.int64))
         yield from map(row, near.rest())
+        del near
+        released_memory()
         code = np.flatnonzero(total)
         yield rows(len(code), key=code.astype(np.int32), n=total[code])
 
@@ -273,12 +275,12 @@ class Model:
         self.unseen, self.total, self.distinct = unseen, total, distinct
 
 
-def _known(words: Vocabulary, batch, a: int, b: int, block, unseen: int) -> tuple[np.ndarray, np.ndarray]:
+def _known(words: Vocabulary, batch, block, unseen: int) -> tuple[np.ndarray, np.ndarray]:
     """The count and the class of each token; words that are not broadcast stand in the batch's lists."""
     count, kind = words.look(block)
     rest = np.flatnonzero(count < 0)
     count[rest], kind[rest] = 0, unseen
-    entries = batch.column("words").slice(a, b - a).flatten()
+    entries = batch.column("words").flatten()
     if len(entries) and len(rest):
         hs, n, c = (entries.field(i).to_numpy() for i in range(3))
         hs, first = np.unique(hs.view(np.uint64), return_index=True)
@@ -293,8 +295,8 @@ def _transitions(vocabulary):
         words = vocabulary.value
         size = words.end + 1
         total = np.zeros(size * size, np.int64)
-        for batch, a, b, block in _blocks(batches):
-            line, _, _ = sequences(block, _known(words, batch, a, b, block, 0)[1], b - a, words.end)
+        for batch, texts, block in _blocks(batches):
+            line, _, _ = sequences(block, _known(words, batch, block, 0)[1], texts, words.end)
             total += np.bincount(line[:-1] * size + line[1:], minlength=size * size)
         code = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(total[code])], ["code", "n"])
@@ -308,16 +310,16 @@ def _score(vocabulary, model, ends: int):
     def score(batches):
         words, lm = vocabulary.value, model.value
         unit = lm.total + 0.5 * (lm.distinct + 1)
-        for batch, a, b, block in _blocks(batches):
-            count, kind = _known(words, batch, a, b, block, lm.unseen)
-            line, text, _ = sequences(block, kind, b - a, words.end)
-            score = np.bincount(text, lm.transition[line[:-1], line[1:]], b - a)
-            score += np.bincount(block.doc, np.log10((count + 0.5) / lm.emission[kind]), b - a)
+        for batch, texts, block in _blocks(batches):
+            count, kind = _known(words, batch, block, lm.unseen)
+            line, text, _ = sequences(block, kind, texts, words.end)
+            score = np.bincount(text, lm.transition[line[:-1], line[1:]], texts)
+            score += np.bincount(block.doc, np.log10((count + 0.5) / lm.emission[kind]), texts)
             score += np.log10((ends + 0.5) / lm.emission[words.end])
-            base = np.bincount(block.doc, np.log10((count + 0.5) / unit), b - a) + np.log10((ends + 0.5) / unit)
-            known = np.bincount(block.doc[count > 0], minlength=b - a) + (ends > 0)
-            n_tokens = np.bincount(block.doc, minlength=b - a) + 1
-            yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(n_tokens), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)], names)
+            base = np.bincount(block.doc, np.log10((count + 0.5) / unit), texts) + np.log10((ends + 0.5) / unit)
+            known = np.bincount(block.doc[count > 0], minlength=texts) + (ends > 0)
+            n_tokens = np.bincount(block.doc, minlength=texts) + 1
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n_tokens), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)], names)
 
     return score
 
@@ -343,11 +345,6 @@ def most_frequent(counts: DataFrame, limit: int) -> pa.Table:
     return counts.filter(power >= least).toArrow()
 
 
-def held_out(share: int):
-    """Whether crc32 of the id as text (a null id: of the empty text) leaves 1 when divided by share."""
-    return F.crc32(F.when(F.col("id") == NULL_ID, F.lit("")).otherwise(F.col("id").cast("string"))) % share == 1
-
-
 def score_documents(docs: DataFrame, share: int = 5, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each whole text.
 
@@ -374,6 +371,7 @@ def score_documents(docs: DataFrame, share: int = 5, broadcast_words: int = BROA
     whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = whole["n"] + ends, whole["v"] + (ends > 0)
     top = most_frequent(counts, broadcast_words).sort_by([("n", "descending"), ("h", "ascending")])
+    dropped(counts)
     classes, own = word_classes(whole["v"]), min(own_words(whole["v"]), len(top))
     words = Vocabulary(top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy(), own)
     pairs = train.mapInArrow(_pairs(shared(words)), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
@@ -394,9 +392,12 @@ def score_documents(docs: DataFrame, share: int = 5, broadcast_words: int = BROA
         once[r["class"]] += r["once"]
     kinds[classes] = ends > 0
     lists = rows.filter("id is not null").select("id", "h").join(rare, "h").groupBy("id").agg(F.collect_list(F.struct("h", "n", "class")).alias("words"))
-    joined = base.join(lists, "id", "left").withColumn("words", F.coalesce("words", F.array().cast("array<struct<h:long,n:long,class:int>>")))
-    classed = written(joined, "classed-texts")
+    lists = written(lists, "words")
+    dropped(rows, rare)
+    # texts meet their words by shuffle in each of the two passes that are left, and are not written beside them
+    classed = base.join(lists, "id", "left").withColumn("words", F.coalesce("words", F.array().cast("array<struct<h:long,n:long,class:int>>")))
     steps = classed.filter("train").mapInArrow(_transitions(vocabulary), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    released(spark)
     model = Model(_square(steps, classes + 1, "code"), kinds, int(np.argmax(once[:classes])), total, distinct)
     out = classed.mapInArrow(_score(vocabulary, shared(model), ends), "id long, n_tokens long, n_known long, base_score double, score double")
     return out.select(public_id().alias("doc_id"), held_out(share).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
