@@ -221,11 +221,23 @@ def ranges_of(sizes, limit: int = BLOCK_BYTES):
         yield a, len(sizes)
 
 
-def text_blocks(batches, column: str = "text", limit: int = BLOCK_BYTES):
-    """(rows, their texts as UTF-8) for ranges of each batch; null is empty. Only one range at a time leaves Arrow."""
+#: What a Python worker holds between tasks, by name, and how to let it go; an operator's tasks drop what others left.
+held_between_tasks: dict = {}
+
+
+def text_blocks(batches, column: str = "text", limit: int = BLOCK_BYTES, keep: str = ""):
+    """(rows, their texts as UTF-8) for ranges of each batch; null is empty. Only one range at a time leaves Arrow.
+
+    keep: the name in held_between_tasks that the caller goes on with.
+    """
     import pyarrow as pa
     import pyarrow.compute as pc
 
+    others = [name for name in held_between_tasks if name != keep]
+    for name in others:
+        held_between_tasks.pop(name)()
+    if others:
+        released_memory()
     try:
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()

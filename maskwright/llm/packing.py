@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from maskwright.llm.common import even_parts, id_and_text, public_id, text_blocks, written
+from maskwright.llm.tokens import CACHE_WORDS
 
 SEQUENCE = 2048
 #: Bytes of text that are tokenized at once.
@@ -21,12 +22,12 @@ PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 _END = b"\0\0\0\0"
 
 
-def _cutter(path: str | None, limit: int):
+def _cutter(path: str | None, limit: int, cache_words: int):
     def cut(batches):
-        from maskwright.llm.tokens import word_ids
+        from maskwright.llm.tokens import HELD, word_ids
 
-        words = word_ids(path)
-        for batch, texts in text_blocks(batches, limit=BLOCK):
+        words = word_ids(path, cache_words)
+        for batch, texts in text_blocks(batches, limit=BLOCK, keep=HELD):
             rows = []
             for i, packed in zip(batch.column("id").to_pylist(), words.ids([t.decode("utf-8", "replace") for t in texts])):
                 packed += _END
@@ -39,9 +40,9 @@ def _cutter(path: str | None, limit: int):
     return cut
 
 
-def pieces(docs: DataFrame, limit: int = SEQUENCE, tokenizer: str | None = None) -> DataFrame:
+def pieces(docs: DataFrame, limit: int = SEQUENCE, tokenizer: str | None = None, cache_words: int = CACHE_WORDS) -> DataFrame:
     """(id, piece, start, length, ids_crc32): each document's ids with id 0 after them, cut at every limit ids."""
-    return id_and_text(docs).mapInArrow(_cutter(tokenizer, limit), PIECES)
+    return id_and_text(docs).mapInArrow(_cutter(tokenizer, limit, cache_words), PIECES)
 
 
 STATE = "kind int, value long, first long, count long, sequence long, offset long"
@@ -149,10 +150,11 @@ def _placer(table):
     return place
 
 
-def pack(docs: DataFrame, limit: int = SEQUENCE, tokenizer: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, limit: int = SEQUENCE, tokenizer: str | None = None, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Each piece with the sequence that holds it and its offset there, gapless from 0; see pieces().
 
     tokenizer: path of the vocabulary file on every machine; by default the public file of the installed package.
+    cache_words: words whose ids a Python worker keeps, about 200 bytes each; fewer take more time, the result is the same.
     Null texts are empty: one piece, the end id. A null doc_id stays; rows that share a doc_id count as one document,
     the one of least text. Extra columns are not read. An empty table gives no rows.
 
@@ -163,7 +165,7 @@ def pack(docs: DataFrame, limit: int = SEQUENCE, tokenizer: str | None = None) -
     """
     spark = docs.sparkSession
     buckets = even_parts(spark)
-    cut = written(pieces(docs, limit, tokenizer), "pieces").withColumn("bucket", F.pmod(F.xxhash64("id", "piece"), F.lit(buckets)))
+    cut = written(pieces(docs, limit, tokenizer, cache_words), "pieces").withColumn("bucket", F.pmod(F.xxhash64("id", "piece"), F.lit(buckets)))
     counts = cut.groupBy("length", "bucket").count()
     before = W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     base = counts.select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))

@@ -6,6 +6,8 @@ import re
 
 import numpy as np
 
+from maskwright.llm.common import held_between_tasks
+
 #: Characters whose lower case and class (letter, digit, sign, white space) need no look at neighbours; a text with
 #: any other character goes to the tokenizer as a whole.
 _LETTERS = "a-zß-öø-įı-ňŊ-ž"
@@ -13,7 +15,7 @@ _SIGNS = "¡¿«»§°·–—‘’“”„…€"
 _SIMPLE = re.compile(f"[\t-\r -~À-Ö{_LETTERS[3:]}Ø-Þ{_SIGNS}]*")
 _PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\t-\r {_LETTERS}0-9]+")
 #: Words kept; the cache starts anew when it is full.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 
 
 class WordIds:
@@ -25,6 +27,7 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cache: dict[str, bytes] = {}
+        self.limit = CACHE_WORDS
 
     def whole(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -37,7 +40,7 @@ class WordIds:
         rest = [i for i in range(len(texts)) if i not in known]
         for i, packed in zip(rest, self.whole([texts[i] for i in rest])):
             out[i] = packed
-        if len(self.cache) > CACHE_WORDS:
+        if len(self.cache) > self.limit:
             self.cache.clear()
         parts = [_PARTS.findall(texts[i].lower()) for i in simple]
         new = list(set().union(*parts).difference(self.cache))
@@ -48,9 +51,10 @@ class WordIds:
 
 
 _loaded: dict[str, WordIds] = {}
+HELD = "tokens"
 
 
-def word_ids(path: str | None) -> WordIds:
+def word_ids(path: str | None, cache_words: int = CACHE_WORDS) -> WordIds:
     """The tokenizer of this process; no path: the public file as it is installed on this machine."""
     if path is None:
         import public_tokenizers
@@ -58,4 +62,6 @@ def word_ids(path: str | None) -> WordIds:
         path = public_tokenizers.path("word_bpe_49k.json")
     if path not in _loaded:
         _loaded[path] = WordIds(path)
+    held_between_tasks[HELD] = _loaded.clear
+    _loaded[path].limit = cache_words
     return _loaded[path]
