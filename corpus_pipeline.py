@@ -14,6 +14,8 @@ from maskwright.llm.packing import pack
 
 #: A language is rejected under this pooled probability; mixed documents of two known languages lie above it.
 LEAST_SCORE = 0.35
+#: Words that a worker keeps for packing: half of what packing alone takes, as the stages before have grown the executors.
+CACHE_WORDS = 500_000
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -60,7 +62,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents' pieces and their places in sequences."""
-    return pack(docs)
+    return pack(docs, cache_words=CACHE_WORDS)
 
 
 STAGES = [
