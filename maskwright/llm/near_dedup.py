@@ -22,6 +22,9 @@ LEADERS, GROWTH = 16, 8
 #: A document's rarest shared shingles that a row of the prefix filter names, to bound its likeness to others: so many
 #: at most, and none of the most frequent that make up this part of its weight.
 HEAD, FREQUENT = 64, 0.5
+#: Members up to this distance from their leader (and those that may be alike to one) are known by what they differ in
+#: from it, the others by their shingles. Such differences leave Arrow by so many at once.
+NEAR, DIFFERENCES = 0.5, 1 << 16
 #: Bytes of text that are sketched at once, and pairs that leave Arrow at once for their check.
 BLOCK, PAIRS = 1 << 20, 256
 SKETCH, GRAMS = "id long, k1 long, k2 long, bands array<long>", "id long, grams binary, weights binary"
@@ -96,6 +99,15 @@ def _shingled(batches):
         yield batch.column("id").to_pylist(), texts, own, (doc, hashes, counts)
 
 
+def _short(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted short hashes of shingles with their counts; shingles that meet in one are one from here on."""
+    short = (grams >> np.uint64(32)).astype("<u4")
+    if len(short) > 1 and (short[1:] == short[:-1]).any():
+        short, where = np.unique(short, return_inverse=True)
+        counts = np.bincount(where, counts).astype(np.int64)
+    return short, counts
+
+
 def _weights(counts: np.ndarray) -> bytes | None:
     return counts.astype("<u4").tobytes() if len(counts) and counts.max() > counts.min() else None
 
@@ -114,7 +126,8 @@ def _sketch(batches):
 
 def _grams_of(batches):
     for ids, _, own, _ in _shingled(batches):
-        rows = [(i, (grams >> np.uint64(32)).astype("<u4").tobytes(), _weights(counts)) for i, (grams, counts) in zip(ids, own)]
+        short = [_short(*x) for x in own]
+        rows = [(i, grams.tobytes(), _weights(counts)) for i, (grams, counts) in zip(ids, short)]
         kinds = (pa.int64(), pa.binary(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["id", "grams", "weights"])
 
@@ -144,13 +157,7 @@ def _verify(batches):
         out = []
         g = [batch.column(c).to_pylist() for c in ("g1", "w1", "g2", "w2")]
         for a, wa, b, wb in zip(*g):
-            num = [None if x is None else np.frombuffer(x, "<u4") for x in (a, wa, b, wb)]
-            for k in (0, 2):
-                if len(num[k]) > 1 and (num[k][1:] == num[k][:-1]).any():  # shingles that meet in their short hashes
-                    n = np.ones(len(num[k])) if num[k + 1] is None else num[k + 1].astype(float)
-                    num[k], where = np.unique(num[k], return_inverse=True)
-                    num[k + 1] = np.bincount(where, n)
-            out.append(likeness(num[0], num[1], num[2], num[3]))
+            out.append(likeness(*[None if x is None else np.frombuffer(x, "<u4") for x in (a, wa, b, wb)]))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], ["a", "b", "likeness"])
 
 
@@ -295,6 +302,103 @@ def may_be_alike(similarity: float) -> Column:
     return alike(F.col("left"), F.col("lleft")) & ~earlier & alike(shared("alone", "least", "head"), shared("lalone", "lleast", "lhead"))
 
 
+def _differences(batches):
+    """(lead, id, key, size): 2 * shingle for those that only id has, of two sets, + 1 for those that only its leader has."""
+    names = ["lead", "id", "key", "size"]
+    held, total = [], 0
+    row = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names)
+    for batch in batches:
+        for lead, i, g, own in zip(*(batch.column(c).to_pylist() for c in ("lead", "id", "g1", "g2"))):
+            g, own = np.frombuffer(g, "<u4"), np.frombuffer(own, "<u4")
+            new, gone = (np.setdiff1d(x, y, assume_unique=True).astype(np.int64) for x, y in ((own, g), (g, own)))
+            key = np.concatenate([2 * new, 2 * gone + 1])
+            held.append([np.full(len(key), lead), np.full(len(key), i), key, np.full(len(key), len(own))])
+            total += len(key)
+            if total > DIFFERENCES:
+                yield row()
+                held, total = [], 0
+    if held:
+        yield row()
+
+
+def differing(groups: DataFrame, sketch: DataFrame, similarity: float) -> DataFrame:
+    """(bucket, id, score, before, after, size, ...) of groups (lead, id, ...) of documents without repeated shingles:
+    each one's rarest differences from its leader in the order of how many of the group have them.
+
+    The shingles in which two documents of a, b shingles differ are the differences from the leader that only one of
+    them has, and alike documents differ in (a + b) (1 - s) / (1 + s) at most, where b is at most a / s. So their first
+    common difference has at most a (1 - s) / s others before it in each. Of two that have none in common none is
+    unlike the leader. What a whole family has in common cancels out, so it brings none of them together.
+    before, after: how many differences come before this one, and from it on; size: number of shingles.
+    """
+    of = lambda c, k: sketch.select(F.col("id").alias(c), F.col("grams").alias(f"g{k}"))
+    whole = groups.select("lead", "id").join(of("id", 2), "id").join(of("lead", 1), "lead").select("lead", "id", "g1", "g2")
+    each = written(whole.mapInArrow(_differences, "lead long, id long, key long, size long"), "differences")
+    counts = each.groupBy("lead", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    own = W.partitionBy("lead", "id")
+    rows = each.join(counts, ["lead", "key"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    rows = rows.withColumn("before", F.row_number().over(own.orderBy("n", "key")) - 1).withColumn("after", F.count("*").over(own) - F.col("before"))
+    rows = rows.withColumn("score", F.sum(F.when(F.col("n") > 1, F.col("n"))).over(own))
+    rows = rows.filter((F.col("n") > 1) & (F.col("before") * similarity <= F.col("size") * (1 - similarity) + 1e-6))
+    out = written(rows.join(groups, ["lead", "id"]).withColumn("bucket", F.xxhash64("lead", "key")).drop("lead", "key", "n"), "prefixes")
+    dropped(each)
+    return out
+
+
+def may_differ_little(similarity: float) -> Column:
+    """Whether two members of a bucket can be alike, if it is that of their first common difference. Columns before,
+    after, size of one, lbefore, lafter, lsize of the other."""
+    apart = F.col("before") + F.col("lbefore") + F.abs(F.col("after") - F.col("lafter"))
+    return apart * (1 + similarity) <= (F.col("size") + F.col("lsize")) * (1 - similarity) + 1e-6
+
+
+def classed(rows: DataFrame, labels: DataFrame, c: str, out: str) -> DataFrame:
+    """rows with the class of the id in column c as column out."""
+    return rows.join(labels.select(F.col("id").alias(c), F.col("class").alias("__c")), c, "left").withColumn(out, F.coalesce("__c", c)).drop("__c")
+
+
+def links(pairs: DataFrame, similarity: float) -> DataFrame:
+    return pairs.filter(F.col("likeness") >= similarity).select("a", "b")
+
+
+def brought_together(rows: DataFrame, meet: Column, sketch: DataFrame, found: DataFrame, labels: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The pairs known and the classes after all pairs of a bucket are compared that are of different classes, may meet,
+    and of which one asks. rows: (bucket, id, score, ask, free, more); meet reads more, of the other member as l<name>;
+    free: asks, and is of a class of which no member is compared with the whole bucket yet.
+
+    In each round one member leads for each of some classes, several times more than in the last one, until all classes
+    that ask have led. Last, members that never led and are still in different classes are compared.
+    """
+    own = classed(rows, labels, "id", "class").groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max("ask").alias("asks"))
+    rest = written(rows.join(own.filter("low < high and asks").select("bucket"), "bucket"), "several")
+    more = [c for c in rows.columns if c not in ("bucket", "id", "score", "free")]
+    other = lambda rows, *c: rows.select("bucket", F.col("id").alias("lead"), *[F.col(x).alias(f"l{x}") for x in (*more, *c)])
+    most = rest.count()
+    free, led, leaders = written(rest.filter("free"), "free", most), None, LEADERS
+    while not free.isEmpty():
+        one = W.partitionBy("bucket", "class").orderBy(F.desc("score"), "id")
+        some = W.partitionBy("bucket").orderBy(F.desc("score"), "id")
+        first = classed(free, labels, "id", "class").withColumn("__n", F.row_number().over(one)).filter("__n = 1")
+        lead = written(first.withColumn("__n", F.row_number().over(some)).filter(F.col("__n") <= leaders).drop("__n", "class"), "leaders", most)
+        pairs = rest.join(other(lead), "bucket").filter((F.col("id") != F.col("lead")) & meet).select("lead", "id").distinct()
+        asked = written(classed(classed(pairs, labels, "lead", "c1"), labels, "id", "c2").filter("c1 <> c2").select("lead", "id"), "asked")
+        new = compared(asked, sketch, found)
+        found, labels = found.unionByName(new), classes(links(new, similarity), labels)
+        led = lead if led is None else led.unionByName(lead)
+        done = classed(led.select("bucket", "id"), labels, "id", "class").select("bucket", "class").distinct()
+        last, free = free, written(classed(free, labels, "id", "class").join(done, ["bucket", "class"], "left_anti").drop("class"), "free", most)
+        dropped(asked, last)
+        leaders *= GROWTH
+    # members that never led may be linked though they are in different classes
+    kept = rest if led is None else rest.join(led.select("bucket", "id"), ["bucket", "id"], "left_anti")
+    kept = written(classed(kept, labels, "id", "class"), "covered", most)
+    several = kept.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max("ask").alias("asks")).filter("low < high and asks").select("bucket")
+    split = written(kept.join(several, "bucket"), "split", most)
+    missed = split.join(other(split.filter("ask"), "class"), "bucket").filter((F.col("class") != F.col("lclass")) & meet).select("lead", "id")
+    late = compared(missed, sketch, found)
+    return found.unionByName(late), classes(links(late, similarity), labels)
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id): documents linked by chains of pairs with that likeness have the least doc_id of the class.
 
@@ -306,14 +410,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
     In each band bucket the most central id leads: it is compared with all others, so pairs grow with members, not with
     their square. Members unlike their leader, and those that the distances from it (a metric) leave in reach of them,
-    are brought together again by their rarest shingles, an exact filter for the likeness: one leads, and in each further
-    round several times more of those that are in no leader's class, so rounds grow as the logarithm of such a group. Only
-    pairs of different classes are compared that the distances and the heads of both leave in reach. Last, members of
-    one such group that never led and are still in different classes are compared. So no link between classes that
-    shares a band bucket is missed. Ties: of equally central ids the least leads. Texts of any length are sketched whole.
+    are brought together again by an exact filter for the likeness: by the rarest of the shingles in which they differ
+    from their leader, as a family shares its leader's; or, where they have little of it or repeat shingles, by their
+    rarest shingles, where one leads again. Then leaders are added by rounds, see brought_together(): only pairs of
+    different classes are compared that the filter's bounds leave in reach. So no link between classes that shares a
+    band bucket is missed. Ties: of equally central ids the least leads. Texts of any length are sketched whole.
     """
-    classed = near_classes(id_and_text(docs), similarity)
-    return classed.select(public_id().alias("doc_id"), public_id("class").alias("class_id"))
+    found = near_classes(id_and_text(docs), similarity)
+    return found.select(public_id().alias("doc_id"), public_id("class").alias("class_id"))
 
 
 def near_classes(base: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -329,49 +433,38 @@ def near_classes(base: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     # shingles themselves are taken a second time, from those texts alone that share a bucket
     found, rest, sketch = stars(banded, lambda ids: written(base.join(ids, "id", "left_semi").mapInArrow(_grams_of, GRAMS), "grams"), None)
     dropped(bands)
-    links = lambda pairs: pairs.filter(F.col("likeness") >= similarity).select("a", "b")
-    labels = classes(links(found))
-    classed = lambda rows, c, out: rows.join(labels.select(F.col("id").alias(c), F.col("class").alias("__c")), c, "left").withColumn(out, F.coalesce("__c", c)).drop("__c")
-    # what a bucket's leader leaves open: members of other classes than its own, and those that are near enough to one
-    # of them by the distances
-    known = written(classed(classed(rest, "lead", "own"), "id", "class").select("bucket", "id", "d", (F.col("own") != F.col("class")).alias("other")), "known", rest.count())
-    least = known.filter("other").groupBy("bucket").agg(F.min("d").alias("least"))
-    open_ = known.join(least, "bucket").filter(F.col("other") | (F.col("d") >= F.col("least") - reach)).select("id").distinct()
-    # all that follows is about the open ones: their sketches are shuffled, not everyone's
-    whole, sketch = sketch, written(sketch.join(open_, "id", "left_semi"), "open")
-    dropped(whole, rest, known)
-    grams = written(sketch.mapInArrow(_grams, "id long, gram long, share double"), "grams")
-    rows = prefixes(grams, similarity)
-    found, near, _ = stars(rows.select("bucket", "id"), lambda _: sketch, found)
-    rest = written(near.join(rows, ["bucket", "id"]), "rest")
-    dropped(grams, near)
-    labels = classes(links(found), labels)
-    apart = classed(classed(rest, "lead", "own"), "id", "class").filter(F.col("own") != F.col("class"))
-    rest = rest.drop("lead")
-    most = rest.count()
-    free, led, leaders = written(apart.select(*rest.columns), "free", most), None, LEADERS
-    other = lambda rows, *more: rows.select("bucket", F.col("id").alias("lead"), *[F.col(c).alias(f"l{c}") for c in ("d", "left", "alone", "least", "head", *more)])
+    labels = classes(links(found, similarity))
+    # what a leader leaves open: members of other classes than its own, and those that are near enough to one of them
+    plain = F.col("weights").isNotNull()
+    groups = classed(classed(rest.select("lead", "id", "d").distinct(), labels, "lead", "own"), labels, "id", "class")
+    groups = groups.join(sketch.select("id", plain.alias("repeats")), "id").select("lead", "id", "d", "repeats", (F.col("own") != F.col("class")).alias("other"))
+    known = written(groups, "known", rest.count())
+    least = known.filter("other").groupBy("lead").agg(F.min("d").alias("least"))
+    open_ = written(known.join(least, "lead").filter(F.col("other") | (F.col("d") >= F.col("least") - reach)).drop("least"), "open")
+    # far from the leader or with repeated shingles: by shingles, beside all that may be alike to one of these
+    asks = F.col("repeats") | (F.col("d") > NEAR + reach)
+    least = open_.filter("repeats").groupBy("lead").agg(F.min("d").alias("least"))
+    beside = open_.join(least, "lead", "left").filter(asks | (F.col("d") > NEAR) | (F.col("d") >= F.col("least") - reach))
+    whole = sketch
+    by_shingle = beside.groupBy("id").agg(F.max(asks).alias("asks"))
+    by_shingle = written(whole.join(by_shingle, "id"), "open")
+    dropped(rest, known)
+    grams = written(by_shingle.mapInArrow(_grams, "id long, gram long, share double"), "grams")
+    rows = prefixes(grams, similarity).join(by_shingle.select("id", "asks", plain.alias("repeats")), "id")
+    rows = written(rows.join(rows.filter("asks").select("bucket").distinct(), "bucket", "left_semi"), "asking")
+    found, near, _ = stars(rows.select("bucket", "id"), lambda _: whole, found)
+    labels = classes(links(found, similarity), labels)
+    rest = classed(classed(near.join(rows, ["bucket", "id"]).withColumn("ask", asks), labels, "lead", "own"), labels, "id", "class")
+    rest = written(rest.withColumn("free", F.expr("ask and own <> class")).drop("asks"), "rest")
+    dropped(grams, near, rows)
     meet = (F.abs(F.col("d") - F.col("ld")) <= reach) & may_be_alike(similarity)
-    while not free.isEmpty():
-        one = W.partitionBy("bucket", "class").orderBy(F.desc("score"), "id")
-        some = W.partitionBy("bucket").orderBy(F.desc("score"), "id")
-        first = classed(free, "id", "class").withColumn("__n", F.row_number().over(one)).filter("__n = 1")
-        lead = written(first.withColumn("__n", F.row_number().over(some)).filter(F.col("__n") <= leaders).drop("__n", "class"), "leaders", most)
-        pairs = rest.join(other(lead), "bucket").filter((F.col("id") != F.col("lead")) & meet).select("lead", "id")
-        asked = written(classed(classed(pairs, "lead", "c1"), "id", "c2").filter("c1 <> c2").select("lead", "id"), "asked")
-        new = compared(asked, sketch, found)
-        found, labels = found.unionByName(new), classes(links(new), labels)
-        led = lead if led is None else led.unionByName(lead)
-        done = classed(led.select("bucket", "id"), "id", "class").select("bucket", "class").distinct()
-        last, free = free, written(classed(free, "id", "class").join(done, ["bucket", "class"], "left_anti").drop("class"), "free", most)
-        dropped(asked, last)
-        leaders *= GROWTH
-    # members that never led may be linked though they are in different classes
-    kept = rest if led is None else rest.join(led.select("bucket", "id"), ["bucket", "id"], "left_anti")
-    kept = written(classed(kept, "id", "class"), "covered", most)
-    several = kept.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("bucket")
-    split = written(kept.join(several, "bucket"), "split", most)
-    missed = split.join(other(split, "class"), "bucket").filter((F.col("class") < F.col("lclass")) & meet).select("lead", "id")
-    late = compared(missed, sketch, found)
-    labels = classes(links(late), labels)
+    alone = rest.select("bucket", "id", "score", "ask", "free", "d", "key", "left", "alone", "least", "head")
+    found, labels = brought_together(alone, meet & (F.col("ask") | F.col("lask")), whole, found, labels, similarity)
+    # the others by what they differ in from their leaders of both kinds
+    groups = open_.select("lead", "id", "d", "repeats").union(rest.select("lead", "id", "d", "repeats")).filter(~asks).distinct()
+    groups = classed(classed(groups, labels, "lead", "own"), labels, "id", "class").select("lead", "id", "d", (F.col("own") != F.col("class")).alias("ask"))
+    least = groups.filter("ask").groupBy("lead").agg(F.min("d").alias("least"))
+    groups = written(groups.join(least, "lead").filter(F.col("ask") | (F.col("d") >= F.col("least") - reach)).select("lead", "id", "ask"), "groups")
+    rows = differing(groups, whole, similarity).withColumn("free", F.col("ask"))
+    _, labels = brought_together(rows, may_differ_little(similarity), whole, found, labels, similarity)
     return members.join(labels.withColumnRenamed("id", "head"), "head", "left").select("id", F.coalesce("class", "head").alias("class"))
