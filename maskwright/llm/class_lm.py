@@ -32,14 +32,22 @@ def word_classes(distinct: int) -> int:
 
 def _summed(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
     """Distinct keys with their rows' sum of the first value and any of the others."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     return [keys[first], np.add.reduceat(values[0][order], first) if len(first) else values[0][:0], *[v[order][first] for v in values[1:]]]
 
 
+def _counted(keys: np.ndarray) -> list[np.ndarray]:
+    """Distinct keys and how often each stands there."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return [keys[first], np.diff(np.append(first, len(keys)))]
+
+
 class Gathered:
-    """Sums by key of what a task's blocks add; add() and rest() yield [keys, sums, *values] to hand on."""
+    """Sums by key of what a task's blocks add (without values: one for each key); add() and rest() yield
+    [keys, sums, *values] to hand on."""
 
     def __init__(self):
         self.held: list[list[np.ndarray]] = []
@@ -51,7 +59,7 @@ class Gathered:
 
     def add(self, keys: np.ndarray, *values: np.ndarray):
         if len(keys):
-            self.held.append(_summed(keys, *values))
+            self.held.append(_summed(keys, *values) if values else _counted(keys))
             self.size += len(self.held[-1][0])
         if self.size > 2 * GATHERED:
             self.merge()
@@ -75,7 +83,7 @@ def _count(batches):
     words = Gathered()
     row = lambda x: pa.RecordBatch.from_arrays([pa.array(x[0].view(np.int64)), pa.array(x[1])], ["h", "n"])
     for _, _, block in _blocks(batches):
-        yield from map(row, words.add(block.hashes, np.ones(len(block.hashes), np.int64)))
+        yield from map(row, words.add(block.hashes))
     yield from map(row, words.rest())
     del words
     released_memory()
@@ -90,6 +98,10 @@ class Vocabulary:
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, own: int):
         order = np.argsort(hashes)
         self.hashes, self.counts = hashes[order], counts[order]
+        # for each value of the first bits, the first word from it on: hashes are spread evenly, so a few lie there
+        self.shift = np.uint64(64 - max(1, len(hashes).bit_length()))
+        first = np.arange(1 << (64 - int(self.shift)), dtype=np.uint64) << self.shift
+        self.first = np.searchsorted(self.hashes, first).astype(np.int32)
         self.end, self.rest = own, own + 1
         self.number = np.where(order < own, order, self.rest)
 
@@ -103,8 +115,14 @@ class Vocabulary:
         """For each token its count (-1: not among these words) and its number."""
         if not len(self.hashes):
             return np.full(len(block.hashes), -1), np.full(len(block.hashes), self.rest)
-        k = np.minimum(np.searchsorted(self.hashes, block.hashes), len(self.hashes) - 1)
-        same = self.hashes[k] == block.hashes
+        last = len(self.hashes) - 1
+        k = np.minimum(self.first[block.hashes >> self.shift], last)
+        less = np.flatnonzero(self.hashes[k] < block.hashes)
+        while len(less):
+            k[less] += 1
+            less = less[k[less] < last]
+            less = less[self.hashes[k[less]] < block.hashes[less]]
+        same = self.hashes[np.minimum(k, last, out=k)] == block.hashes
         return np.where(same, self.counts[k], -1), np.where(same, self.number[k], self.rest)
 
 
@@ -128,7 +146,7 @@ def _pairs(vocabulary):
         for _, texts, block in _blocks(batches):
             line, _, _ = sequences(block, words.look(block)[1], texts, words.end)
             code = line[:-1] * (words.rest + 1) + line[1:]
-            yield from map(row, pairs.add(code, np.ones(len(code), np.int64)))
+            yield from map(row, pairs.add(code))
         yield from map(row, pairs.rest())
 
     return gather
@@ -223,7 +241,8 @@ def _neighbours(vocabulary, learned: bool):
                 code = (line[:-1] * size + line[1:])[train[text]]
                 total += np.bincount(code, minlength=size * size)
                 rest = np.flatnonzero(open_)
-                order = rest[np.lexsort((block.hashes[rest], block.doc[rest]))]
+                order = rest[np.argsort(block.hashes[rest])]
+                order = order[np.argsort(block.doc[order].astype(np.uint16 if texts <= 1 << 16 else np.int64), kind="stable")]
                 d, hs = block.doc[order], block.hashes[order]
                 first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (hs[1:] != hs[:-1])])) if len(order) else order
                 yield rows(len(first), id=ids[d[first]], h=hs[first].view(np.int64))
@@ -246,24 +265,37 @@ def context_weights(m: np.ndarray) -> np.ndarray:
 
 
 def _assign(weights):
+    """The class of each word, from rows (h, key, n) in the order of h."""
+
     def assign(batches):
-        own = weights.value
+        own, held = weights.value, [np.zeros(0, np.int64)] * 3
+        row = lambda x: pa.RecordBatch.from_arrays([pa.array(c) for c in x], ["h", "n", "class"])
         for batch in batches:
-            near = batch.column("near")
-            row = np.repeat(np.arange(len(near)), near.value_lengths().to_numpy())
-            key, n = (near.flatten().field(i).to_numpy().astype(np.int64) for i in (0, 1))
-            found = np.bincount(row * len(own) + key, n, len(near) * len(own)).reshape(len(near), len(own))
-            times = found[:, : len(own) // 2].sum(1).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(times), pa.array(np.argmax(found @ own, 1).astype(np.int32))], ["h", "n", "class"])
+            held = [np.concatenate([x, batch.column(c).to_numpy().astype(np.int64)]) for x, c in zip(held, ("h", "key", "n"))]
+            done = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            if done:  # the last word's rows may go on
+                yield row(_best(own, *[x[:done] for x in held]))
+                held = [x[done:] for x in held]
+        if len(held[0]):
+            yield row(_best(own, *held))
 
     return assign
 
 
+def _best(own: np.ndarray, h: np.ndarray, key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each word, its count and the class of greatest gain."""
+    new = np.concatenate([[True], h[1:] != h[:-1]])
+    row, words = np.cumsum(new) - 1, int(new.sum())
+    found = np.bincount(row * len(own) + key, n, words * len(own)).reshape(words, len(own))
+    times = found[:, : len(own) // 2].sum(1).astype(np.int64)
+    return h[new], times, np.argmax(found @ own, 1).astype(np.int32)
+
+
 def assigned(near: DataFrame, m: np.ndarray) -> DataFrame:
     """(h, n, class): each word's count and the class whose neighbours are most like its own; near: (h, key, n)."""
     weights = near.sparkSession.sparkContext.broadcast(context_weights(m))
-    lists = near.groupBy("h").agg(F.collect_list(F.struct("key", "n")).alias("near"))
-    return lists.mapInArrow(_assign(weights), "h long, n long, class int")
+    rows = near.select("h", "key", "n").repartition("h").sortWithinPartitions("h")
+    return rows.mapInArrow(_assign(weights), "h long, n long, class int")
 
 
 class Model:

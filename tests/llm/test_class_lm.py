@@ -1,7 +1,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
+import maskwright.llm.class_lm as class_lm
 from maskwright.llm.class_lm import Model, exchange, own_words, score_documents, word_classes
 
 
@@ -74,3 +76,38 @@ def test_held_out_texts_gain_from_classes(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = score_documents(docs).filter("held_out").selectExpr("sum(score) as s", "sum(base_score) as b", "sum(n_tokens) as n").first()
     assert (r["s"] - r["b"]) / r["n"] > 0.1
+
+
+def test_words_are_assigned_from_sorted_rows(spark):
+    """Each word's best class, whatever batches its rows are dealt to; no lists are collected for it."""
+    rng = np.random.default_rng(4)
+    m = rng.integers(0, 50, (6, 6)).astype(float)
+    near = [(int(h), int(k), int(n)) for h, k, n in zip(rng.integers(-40, 40, 900), rng.integers(0, 12, 900), rng.integers(1, 9, 900))]
+    out = class_lm.assigned(spark.createDataFrame(near, "h long, key int, n long"), m)
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    own, want = class_lm.context_weights(m), {}
+    for h, k, n in near:
+        want.setdefault(h, np.zeros(12))[k] += n
+    want = {h: (int(x[:6].sum()), int(np.argmax(x @ own))) for h, x in want.items()}
+    assert {r["h"]: (r["n"], r["class"]) for r in out.collect()} == want
+
+    class Shared:
+        value = own
+
+    rows = pa.table({"h": [r[0] for r in sorted(near)], "key": [r[1] for r in sorted(near)], "n": [r[2] for r in sorted(near)]})
+    parts = pa.Table.from_batches(class_lm._assign(Shared)(rows.to_batches(max_chunksize=7))).to_pylist()
+    assert {r["h"]: (r["n"], r["class"]) for r in parts} == want and len(parts) == len(want)
+
+
+def test_words_are_found_by_their_first_bits():
+    rng = np.random.default_rng(6)
+    for size in (0, 1, 2, 3, 700):
+        hashes = np.unique(np.concatenate([rng.integers(0, 2**64, size, np.uint64), np.arange(min(size, 5), dtype=np.uint64), np.array([2**64 - 1] * (size > 1), np.uint64)]))
+        words = class_lm.Vocabulary(hashes, np.arange(len(hashes)) + 1, 2)
+
+        class Block:
+            pass
+
+        Block.hashes = np.concatenate([hashes, rng.integers(0, 2**64, 50, np.uint64), np.array([0, 9, 2**64 - 1], np.uint64)])
+        known = {int(h): k + 1 for k, h in enumerate(hashes)}
+        assert words.look(Block)[0].tolist() == [known.get(int(h), -1) for h in Block.hashes]
