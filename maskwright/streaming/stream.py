@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from maskwright.config import MAX_REPORT_BYTES, MAX_RESTORE_EVENTS, Engine, InvalidUTF8, LimitExceeded, MaskingError, StreamClosed
+from maskwright.sources.groups import by_group
 
 TOKEN = re.compile("[\\[【]?([A-Z][A-Z0-9]*)_([0-9]+)[\\]】]?")
 #: An end of text that further text could make a token.
@@ -194,15 +195,24 @@ def restore_stream(chunks: DataFrame, engine: Engine | None = None, ttl_ms: int
     return chunks.groupBy("stream_id").transformWithStateInPandas(RestoreProcessor(engine, ttl_ms), outputStructType=OUTPUT, outputMode="append", timeMode="processingTime" if ttl_ms else "none")
 
 
+CHUNKS = ("stream_id", "chunk_no", "chunk", "is_eof", "mapping")
+
+
+def known_of(rows: list[tuple]) -> dict[str, str]:
+    """The mapping that the rows of a stream (CHUNKS) give together; of two plaintexts the later row's holds."""
+    known, last = {}, None
+    for *_, m in rows:
+        if m is not None and m != last:
+            known.update(m)
+            last = m
+    return known
+
+
 def restore_chunks(chunks: DataFrame, engine: Engine | None = None) -> DataFrame:
     """The same for a batch table: each stream's chunks in one task, whose size the input limit bounds."""
     engine = engine or Engine()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk_no")
-        known: dict[str, str] = {}
-        for m in pdf["mapping"]:
-            known.update(dict(m) if m is not None else {})
-        return pd.DataFrame(rows_of(pdf["stream_id"].iloc[0], zip(pdf["chunk_no"], pdf["chunk"], pdf["is_eof"]), StreamRestorer(known, engine)), columns=_COLUMNS)
+    def run(stream_id: str, rows: list[tuple]) -> list[tuple]:
+        return rows_of(stream_id, [r[1:4] for r in rows], StreamRestorer(known_of(rows), engine))
 
-    return chunks.groupBy("stream_id").applyInPandas(run, OUTPUT)
+    return by_group(chunks.select(*CHUNKS), "stream_id", "chunk_no", run, OUTPUT)
