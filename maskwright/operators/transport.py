@@ -60,6 +60,11 @@ def _with_length(kept: Column, body: Column) -> Column:
     return F.concat(kept, F.array(length))
 
 
+def dealt(df: DataFrame, request: str) -> DataFrame:
+    """The rows over all tasks: bodies cost much more to read than to move, and a small file of many is one task's."""
+    return df.repartition(request)
+
+
 def gunzip(data: bytes, limit: int) -> bytes:
     """All members of a gzip body; anything after the last that is no member is an error, as is more than limit bytes."""
     out = bytearray()
@@ -138,7 +143,7 @@ def mask_requests(df: DataFrame, engine: Engine | None = None, passthrough: bool
     gated = df.withColumn("__gate", gate).withColumn("__encoding", content_encoding()).withColumn("__large", F.coalesce(F.col("__gate").isNull() & large, F.lit(False)))
     body = F.when(F.col("__gate").isNull() & ~F.col("__large"), F.coalesce("body", F.lit(b"")))
     read = _reader(request_texts, engine.max_input_bytes, passthrough)
-    rows = shared_table(gated.withColumn("__read", read(body, "__encoding")), "requests")
+    rows = shared_table(dealt(gated, request).withColumn("__read", read(body, "__encoding")), "requests")
 
     calls = rows.select(request, F.explode("__read.found").alias("__c")).select(request, F.col("__c.no").alias("no"), F.col("__c.text").alias("text"))
     done = shared_table(anonymize(calls, request, "no", "text", engine), "calls")
@@ -198,7 +203,7 @@ def restore_responses(df: DataFrame, known: DataFrame, engine: Engine | None = N
     gated = gated.withColumn("__early", early)
     body = F.when(F.col("__gate").isNull() & F.col("__early").isNull(), F.coalesce("body", F.lit(b"")))
     read = _reader(response_texts, engine.max_output_bytes, False)
-    rows = shared_table(gated.withColumn("__read", read(body, F.lit("identity"))), "responses")
+    rows = shared_table(dealt(gated, request).withColumn("__read", read(body, F.lit("identity"))), "responses")
 
     texts = rows.select(request, F.explode("__read.found").alias("__c")).select(request, F.col("__c.no").alias("no"), F.col("__c.text").alias("text"))
     done = restore(texts, known, request, "text", engine)

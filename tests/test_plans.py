@@ -21,3 +21,16 @@ def test_each_pattern_is_looked_for_once(spark, name):
 
 def test_a_mapping_writes_its_events_once(spark):
     assert written(queries.mapping_table(spark, FOLDER), "filter") == 1
+
+
+def test_bodies_are_dealt_before_they_are_read(spark, monkeypatch):
+    from maskwright.operators import transport
+
+    read = {}
+    monkeypatch.setattr(transport, "shared_table", lambda df, name, keep=transport.shared_table: read.setdefault(name, df) and keep(df, name))
+    rows = spark.range(3).selectExpr("id as request_id", "'POST' as method", "200 as status", "array(named_struct('name', 'Content-Type', 'value', 'application/json')) as headers", "encode('{}', 'UTF-8') as body")
+    transport.mask_requests(rows)
+    transport.restore_responses(rows, spark.createDataFrame([], "request_id long, placeholder string, plaintext string"))
+    for name in ("requests", "responses"):
+        plan = read[name]._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("ArrowEvalPython") < plan.index("RepartitionByExpression [request_id")
